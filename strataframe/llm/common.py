@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import math
 import os
 import tempfile
@@ -13,6 +12,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,13 +64,13 @@ def bins_for(total: int, each: int, least: int = 8) -> int:
     return max(least, math.ceil(total / each))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, doc_id, text): k1, k2 identify the pair (id, text), never null.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list | None = None) -> DataFrame:
+    """(k1, k2, doc_id, text, *more): k1, k2 identify the pair (id, text), never null.
 
     Rows that repeat both id and text share the key; each still counts as a document of its own.
     """
-    doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return doc.select(F.xxhash64("doc_id", "text").alias("k1"), F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("k2"), "doc_id", "text")
+    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(F.xxhash64(doc, text).alias("k1"), F.coalesce(doc, F.lit(-(2**63) + 1)).alias("k2"), doc.alias("doc_id"), text.alias("text"), *(more or []))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -88,22 +89,45 @@ def rows_of(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        column = column.cast(pa.large_binary())
-        sizes = np.array([len(x) if x is not None else 0 for x in (v.as_buffer() if v.is_valid else None for v in column)], dtype=np.int64)
+        column = column.cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, [batch.num_rows]))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             if j > i:
                 yield batch.slice(i, j - i), [v or b"" for v in column.slice(i, j - i).to_pylist()]
 
 
-def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Named arrays as one compressed byte string."""
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return pa.compress(out.getvalue(), codec="lz4", asbytes=True) + len(out.getvalue()).to_bytes(8, "little")
 
-
-def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    raw = pa.decompress(blob[:-8], decompressed_size=int.from_bytes(blob[-8:], "little"), codec="lz4", asbytes=True)
-    with np.load(io.BytesIO(raw), allow_pickle=False) as z:
-        return {k: z[k] for k in z.files}
+SEPARATORS = b" \t\n\v\f\r"  # what ends a word
+_IS_WORD = ~np.isin(np.arange(256), list(SEPARATORS))
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], dtype=np.uint8)
+
+
+def words_at(raw: bytes) -> np.ndarray:
+    """The 8 bytes at every place of raw as little-endian numbers, zeros past the end."""
+    return np.ndarray(shape=(len(raw),), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of all texts in order, words in each text)."""
+    raw = b" ".join([*texts, b""])
+    if lower:
+        raw = LOWER[np.frombuffer(raw, np.uint8)].tobytes()
+    inside = np.concatenate(([False], _IS_WORD[np.frombuffer(raw, np.uint8)], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    w = words_at(raw)
+    h = mix64((w[starts] & _KEEP[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) << np.uint64(56)))
+    more, at = np.flatnonzero(lengths > 8), 8
+    while len(more):
+        if at > 1024:  # the rest of very long words at once
+            for i in more.tolist():
+                h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(raw[starts[i] + at : starts[i] + lengths[i]]))
+            h[more] = mix64(h[more])
+            break
+        h[more] = mix64(h[more] * np.uint64(0x9E3779B97F4A7C15) ^ (w[starts[more] + at] & _KEEP[np.minimum(lengths[more] - at, 8)]))
+        at += 8
+        more = more[lengths[more] > at]
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    return h, np.diff(np.searchsorted(starts, ends), prepend=0)

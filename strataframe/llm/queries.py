@@ -38,3 +38,17 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_file import read_documents, write_token_file
 
     return read_documents(spark, write_token_file(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+@_query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@_query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_words
+
+    return repeated_words(_table(spark, sf_dir, "documents")).drop("spans")
