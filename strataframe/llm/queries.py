@@ -52,3 +52,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeated_words
 
     return repeated_words(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@_query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
