@@ -59,3 +59,20 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit_languages(docs))
+
+
+@_query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
