@@ -76,3 +76,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import NONE, mix
+
+    docs = _table(spark, sf_dir, "documents")
+    named = lambda c: F.coalesce(c, F.lit(NONE)).alias(c)
+    return mix(docs).select("doc_id", named("source"), named("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+
+
+def _op2_sql() -> str:
+    from .mixing import mix_sql
+
+    return mix_sql()
+
+
+ORACLES["op2_source_mixing"] = _op2_sql()
