@@ -96,3 +96,26 @@ def _op2_sql() -> str:
 
 
 ORACLES["op2_source_mixing"] = _op2_sql()
+
+
+@_query
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0)
+
+
+def _op5_sql() -> str:
+    from .exact_topk import exact_top_k_sql
+
+    return exact_top_k_sql()
+
+
+ORACLES["op5_exact_topk"] = _op5_sql()
+
+
+@_query
+def op9_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0)
