@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bins_for, materialise, mix64, rows_of, ship, text_bytes, word_hashes
+from .common import bins_for, materialise, mix64, rows_of, ship, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -36,7 +36,7 @@ BLOCK_SHINGLES = 2_000_000  # or shingles
 HUBS = 8
 BIN_BYTES = 8 << 20
 _BUCKET = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("sketch", "<u8", (2,))])
-TOP = (1 << 63) - 1  # stands for a null id
+TOP = 1 << 62  # nodes of null ids lie above; ids below
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -139,7 +139,7 @@ def exact_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, n, two halves of the set's 128-bit fingerprint, band keys, sketch."""
+    """doc_id, node, row_key, text -> doc_id, node, row_key, n, two halves of the set's 128-bit fingerprint, band keys, sketch."""
     for part, texts in rows_of(batches):
         out: list[list] = [[], [], [], [], []]
         seen: dict[bytes, tuple] = {}
@@ -155,7 +155,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = seen[raw]
             for column, v in zip(out, row, strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "n", "f1", "f2", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "node", "row_key", "n", "f1", "f2", "bands", "sketch"])
 
 
 def _likely(sets: DataFrame, bins: int, percent: int) -> DataFrame:
@@ -205,20 +205,21 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (doc_id = component_id).
+    """Per document: doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept, row_key.
 
-    Links: 100 * intersection >= percent * union of the sets of 5-word shingles. Null, empty and blank texts have an
-    empty set and no links. Documents with equal ids are one node, so each has the other's links; a null id counts
-    as larger than all ids, and its component_id is null if it reaches no other id. No rows give no rows. Other
-    columns are not read.
+    Links: 100 * intersection >= percent * union of the sets of 5-word shingles. kept: the document's id is its
+    component's. Null, empty and blank texts have an empty set and no links. Documents with equal ids are one node, so
+    each has the other's links. A null id counts as larger than all ids (which must be below 2**62); its component_id
+    is null where it reaches no id, and then the documents of the component's first text are kept. row_key is the
+    hash of id and text. No rows give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    _, total = text_bytes(rows)
-    held = materialise(rows.mapInArrow(_profiles, "doc_id long, n long, f1 long, f2 long, bands binary, sketch binary"), "profiles")
-    node = F.coalesce("doc_id", F.lit(TOP))
-    sets = held.where("n > 0").groupBy("f1", "f2").agg(F.min(node).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    node = F.coalesce(doc, F.lit(TOP) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+    rows = docs.select(doc.alias("doc_id"), node.alias("node"), F.xxhash64(doc, text).alias("row_key"), text.alias("text"))
+    held = materialise(rows.mapInArrow(_profiles, "doc_id long, node long, row_key long, n long, f1 long, f2 long, bands binary, sketch binary"), "profiles")
+    sets = held.where("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     sets = materialise(sets, "sets")
     n_sets = sets.count()
     likely = materialise(_likely(sets, bins_for(n_sets * BANDS * _BUCKET.itemsize, BIN_BYTES), percent), "likely")
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     sizes = clusters.join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = materialise(clusters.join(sizes.select("component", blocks.alias("blocks")), "component").select(F.col("component").alias("cluster"), "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part")), "placed")
-    texts = materialise(rows.where("text is not null").withColumn("node", node).select("node", "text").join(placed, "node"), "members")
+    texts = materialise(rows.where("text is not null").select("node", "text").join(placed, "node"), "members")
 
     small = texts.where("blocks = 1").select("cluster", "part", "node", "text")
     large = texts.where("blocks > 1")
@@ -248,5 +249,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         links = links.unionByName(first).unionByName(_verified(left.unionByName(right), percent))
     found = components(links)
     classes = sets.select("f1", "f2", "node").join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
-    out = held.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").withColumn("component", F.nullif(F.coalesce("component", node), F.lit(TOP)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+    out = held.select("doc_id", "node", "row_key", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").withColumn("component", F.coalesce("component", "node"))
+    component = F.when(F.col("component") < TOP, F.col("component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("node") == F.col("component")).alias("kept"), "row_key")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The kept documents with all their columns; rows that repeat both id and text stay once. Edge cases as in `near_duplicates`."""
+    kept = near_duplicates(docs, percent, id_col, text_col).where("kept").select(F.col("row_key").alias("__key"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    return keyed.join(materialise(kept.distinct(), "kept"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
