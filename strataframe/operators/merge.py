@@ -68,7 +68,7 @@ def compact(base: DataFrame, log: DataFrame, path: str, key: str = "row_id", fil
     out.sortWithinPartitions(key).write.mode("errorifexists").option("compression", compression).parquet(path)
     n_in, n_out = base.count(), base.sparkSession.read.parquet(path).count()
     keys = latest(log)
-    row = keys.join(base.select(F.col(key).alias("row_id")), "row_id", "left_semi").agg(F.count(F.lit(1)).alias("touched"), F.count_if("ins_ts is null or del_ts >= ins_ts").alias("gone")).first() if n_in else None
+    row = keys.join(base.select(F.col(key).alias("row_id")), "row_id", "left_semi").agg(F.count(F.lit(1)).alias("touched"), F.count_if(F.expr("ins_ts is null or del_ts >= ins_ts")).alias("gone")).first() if n_in else None
     touched, gone = (row["touched"], row["gone"]) if row else (0, 0)
     return MergeStats(n_in, n_out, n_out - (n_in - touched), gone, int((time.perf_counter() - began) * 1e6))
 
