@@ -73,7 +73,7 @@ class Encoder:
                 else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             )
             self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-            self.words, self.plain = _Cache(self._word), _Cache(self._plain)
+            self.words, self.plain, self.seen = _Cache(self._word), _Cache(self._plain), set()
 
     def _kind(self, spec) -> str:
         """Which of the two known shapes the file has; any other is left to the library."""
@@ -94,7 +94,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """byte: a word with the space before it, unless marked lean; word: a word between spaces."""
         lead = " " if self.fast == "byte" else ""
-        if word[:1] == _LEAN:
+        if lead and word[:1] == _LEAN:
             lead, word = "", word[1:]
         elif word == "\n":
             return self.plain[word]
@@ -104,13 +104,22 @@ class Encoder:
             return (self.words[m[1]] if lead or self.suffix else self.words[_LEAN + m[1]]) + self.plain[m[2]]
         return b"".join(self.plain[x] for x in self.pattern.findall(lead + word))
 
+    def _known(self, text: str) -> bool:
+        """Whether all characters are assigned; libraries of different Unicode versions differ on the others."""
+        if not self.seen.issuperset(text):
+            new = set(text) - self.seen
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return False
+            self.seen |= new
+        return True
+
     def by_library(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.fast or any(x in text for x in self.special) or _RARE_SPACE.search(text):
+        if not self.fast or any(x in text for x in self.special) or _RARE_SPACE.search(text) or not (text.isascii() or self._known(text)):
             return self.by_library(text)
         if self.fast == "word":
             if not text.isascii():

@@ -23,12 +23,11 @@ GRAM, CONTEXT = 8, 96
 def radix_groups(raw: bytes, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """Indices of the suffixes at `at` that equal another of the same group through `length` bytes."""
     w, rest, group = words_at(raw), np.arange(len(at)), group.astype(np.int64)
-    for depth in range(-1, length, 8):
-        if depth < 0:
+    for depth in (None, *range(0, length, 8)):
+        if depth is None:
             order = np.argsort(group, kind="stable")
             same = group[order][1:] == group[order][:-1]
         else:
-            depth -= depth % 8 and 7
             digit = w[at[rest] + depth]
             if length - depth < 8:
                 digit = digit & np.uint64((1 << (8 * (length - depth))) - 1)
