@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .predicate import Predicate, Term
+from .predicate import Node, Predicate, Term
 from .zonemap import BLOCK_ROWS, block_of, can_match, pruned_scan
 
 
@@ -55,6 +55,31 @@ def deliver(found: DataFrame, output: Callable[[pa.RecordBatch], None], rows: in
     found.mapInArrow(run, "n long").count()
 
 
+def segment_can_match_blooms(pred: Predicate, blooms: dict[str, Bloom], spark: SparkSession, columns: list[str] | None = None) -> DataFrame:
+    """One row, keep: whether a segment with these sketches may hold a matching row.
+
+    An equality whose value its column's sketch denies cannot hold; AND needs both sides, OR one; below NOT, and for
+    other terms or columns without a sketch, nothing is known.
+    """
+    out, n = spark.range(1).select(F.lit(True).alias("known")), 0
+
+    def possible(x):
+        nonlocal out, n
+        if isinstance(x, Node) and x.kind != "not":
+            a, b = (possible(p) for p in x.parts)
+            return a & b if x.kind == "and" else a | b
+        name = (columns[x.column] if isinstance(x.column, int) else x.column) if isinstance(x, Term) and x.kind == "eq" else None
+        if name is None or name not in blooms or blooms[name].blocked:
+            return F.lit(True)
+        n += 1
+        one = blooms[name].might_contain(spark.createDataFrame([(x.value,)], f"v {blooms[name].kind}"), "v")
+        out = out.crossJoin(one.select(F.col("might_contain").alias(f"t{n}")))  # one row by one row
+        return F.col(f"t{n}")
+
+    keep = possible(pred.tree)
+    return out.select(keep.alias("keep"))
+
+
 class CancellableScan:
     """Runs actions under a tag so that another thread can stop them."""
 

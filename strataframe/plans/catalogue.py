@@ -11,7 +11,7 @@ from ..functions import encodings as enc
 from ..functions import vecops as vec
 from ..operators import aggregate, bloom, delta, merge, zonemap
 from ..operators.predicate import Predicate, count_true, mask_and, mask_not, mask_or, predicate
-from ..operators.scan import ScanOptions, scan, scan_segments, scan_stats
+from ..operators.scan import ScanOptions, scan, scan_segments, scan_stats, segment_can_match_blooms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -265,6 +265,13 @@ def _(s, d):
     return found.agg(F.count(F.lit(1)).alias("probes"), F.count_if("might_contain").alias("hits"))
 
 
+@query("bloom_segment_match", "SELECT TRUE AS keep")
+def _(s, d):
+    sketch = bloom.build_bloom(table(s, d, "events"), "user_id", 1 << 16)
+    pred = predicate().eq("user_id", 7).and_().lt("value", 1e9).or_().eq("user_id", -5).build()
+    return segment_can_match_blooms(pred, {"user_id": sketch}, s)
+
+
 query("bloom_stats")(lambda s, d: bloom.build_bloom(table(s, d, "events"), "user_id", 1 << 16).bits_set())
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from strataframe.operators.bloom import build_bloom
 from strataframe.operators.predicate import predicate
-from strataframe.operators.scan import ScanOptions, scan, scan_stats
+from strataframe.operators.scan import ScanOptions, scan, scan_stats, segment_can_match_blooms
 from strataframe.operators.zonemap import block_of, build_zone_map, pruned_blocks, segment_can_match
 
 
@@ -87,3 +87,10 @@ def test_bloom_merge_block_stats(rows, spark):
     assert (s["blocks_pruned_zone"], s["blocks_pruned_bloom"], s["rows_returned"]) == (9, 0, 1)
     s = scan_stats(df.where("v <> 5"), predicate().eq("v", 5).build(), "row_id", zones, 10, {"v": build_bloom(df.where("v <> 5"), "v", 8192)}).first()
     assert (s["blocks_pruned_bloom"], s["rows_returned"]) == (1, 0)
+
+
+def test_segment_bloom(rows, spark):
+    b = {"v": build_bloom(rows(range(50)), "v", 8192)}
+    keep = lambda p: segment_can_match_blooms(p.build(), b, spark).first()["keep"]
+    assert keep(predicate().eq("v", 5)) and not keep(predicate().eq("v", 5000)) and not keep(predicate().eq("v", 5).and_().eq("v", 5000))
+    assert keep(predicate().eq("v", 5000).or_().eq("v", 5)) and keep(predicate().eq("v", 5000).not_()) and keep(predicate().eq("w", 5000)) and keep(predicate())
