@@ -2,7 +2,7 @@
 
 Documents are summed to cells of (source, language, topic). Each round rakes the cells' weights to the three
 target marginals in turn: a group-by gives a marginal's present tokens, a join brings the factor back to the cells.
-Cells, not documents, are iterated over, and each round's cells are a table in the shared folder. A document is then
+Cells, not documents, are iterated over; every few rounds they become a table in the shared folder. A document is then
 kept with its cell's probability, by a number drawn from the hash of its id, so every rerun keeps the same ones.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
@@ -17,6 +18,7 @@ ROUNDS = 12
 NONE = "<none>"  # stands for a null source, language or topic
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.8}
 DIGITS = 6
+ONE_TASK = 50_000  # up to so many cells, rounds are windows within one task; beyond, group-bys and joins: the same sums
 
 
 def topic_of(text: Column) -> Column:
@@ -45,13 +47,27 @@ def calibrate(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROU
     Values without a target or without tokens keep their weight.
     """
     dims = list(targets)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
     out = materialise(cells.select(*dims, "tokens", F.lit(1.0).alias("weight")), "cells")
+    size = out.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("total")).first()
+    whole = float(size["total"] or 0)
+    total = F.lit(whole)
     held = {d: materialise(t, f"target-{d}") for d, t in targets.items()}
+    if size["n"] <= ONE_TASK:
+        out = out.coalesce(1)
+        for d in dims:  # a target per cell; the targets have no more rows than there are cells with tokens, or were given
+            out = out.join(held[d].select(d, F.col("target").alias(f"to_{d}")).hint("broadcast" if held[d].count() <= ONE_TASK else "merge"), d, "left")
+        columns = ", ".join([*dims, "tokens", *(f"to_{d}" for d in dims)])
+        for r in range(0, rounds, 4):  # a few rounds a plan
+            step = "{cells}"
+            for d in dims * min(4, rounds - r):
+                step = f"(SELECT {columns}, weight, sum(weight * tokens) OVER (PARTITION BY {d}) AS now FROM {step})"
+                step = f"(SELECT {columns}, CASE WHEN now > 0 AND to_{d} IS NOT NULL THEN weight * (to_{d} * CAST('{whole!r}' AS DOUBLE) / now) ELSE weight END AS weight FROM {step})"
+            out = materialise(out.sparkSession.sql(f"SELECT * FROM {step}", cells=out), "cells").coalesce(1)
+        return out.select(*dims, "tokens", "weight")
     for _ in range(rounds):
         for d in dims:
             now = out.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"))
-            factor = now.join(held[d], d).where("now > 0").select(d, (F.col("target") * F.lit(float(total)) / F.col("now")).alias("factor"))
+            factor = now.join(held[d], d).where("now > 0").select(d, (F.col("target") * total / F.col("now")).alias("factor"))
             out = out.join(factor, d, "left").select(*dims, "tokens", (F.col("weight") * F.coalesce("factor", F.lit(1.0))).alias("weight"))
         out = materialise(out, "cells")
     return out

@@ -149,14 +149,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pa
                 raw[own].append(c[c != PAD].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.list_(pa.binary()))], names=["id", "y", "chunks"])
 
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r["id"], r["y"], r["chunks"]) for batch in batches for r in batch.to_pylist())
+        y = np.array([g[1] for g in got], np.float64)
+        if 0 < y.sum() < len(y):
+            own = Network().fit(cut([c for g in got for c in g[2]], 1)[0], np.repeat(np.arange(len(got)), [len(g[2]) for g in got]), y)
+            own.p["prior"] += np.float32(np.log(rates[1] / rates[0]) - np.log(y.sum() / (len(y) - y.sum())))
+            yield pa.RecordBatch.from_pydict({"name": list(own.p), "shape": [list(v.shape) for v in own.p.values()], "raw": [v.astype("<f4").tobytes() for v in own.p.values()]}, schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("raw", pa.binary())]))
+
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("id", "y", "text")
-    got = sorted(rows.mapInArrow(chunks, "id long, y int, chunks array<binary>").collect(), key=lambda r: (r["id"], r["y"], [bytes(c) for c in r["chunks"]]))  # FIT_CHUNKS * CHUNK bytes a row at most
-    if len({r["y"] for r in got}) < 2:
-        return net
-    y = np.array([r["y"] for r in got], np.float64)
-    parts_of = [bytes(c) for r in got for c in r["chunks"]]
-    net.fit(cut(parts_of, 1)[0], np.repeat(np.arange(len(got)), [len(r["chunks"]) for r in got]), y)
-    net.p["prior"] += np.float32(np.log(rates[1] / rates[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    sampled = rows.mapInArrow(chunks, "id long, y int, chunks array<binary>")  # FIT_CHUNKS * CHUNK bytes a row at most
+    for r in sampled.repartition(1).mapInArrow(train, "name string, shape array<long>, raw binary").collect():  # fitted in one task of an executor
+        net.p[r["name"]] = np.frombuffer(bytes(r["raw"]), "<f4").reshape(r["shape"]).copy()
     return net
 
 

@@ -88,12 +88,14 @@ def test_filters_have_no_false_negatives():
     assert ((f.masks(g) & np.uint64(1)) > 0).mean() > 0.9 and (f.false_rates < 0.01).all()
 
 
-def test_mixing_follows_targets(spark):
+@pytest.mark.parametrize("one_task", [50_000, 0])
+def test_mixing_follows_targets(spark, monkeypatch, one_task):
+    monkeypatch.setattr(mixing, "ONE_TASK", one_task)
     r = random.Random(2)
     rows = [(i, "w " * r.randrange(1, 60), r.choice(["de", "en", "en"]), r.choice(["s0", "s0", "s0", "s1", "s2"])) for i in range(3000)] + [(None, None, None, None), (3, "", None, "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as tokens", "2 as weight", "'z' as topic")
     goal = lambda c, **t: spark.createDataFrame(list(t.items()), f"{c} string, target double")
-    out = mixing.mix(docs, targets={"source": goal("source", s0=0.2, s1=0.3, s2=0.5), "lang": goal("lang", de=0.5, en=0.5)}, rounds=25)
+    out = mixing.mix(docs, targets={"source": goal("source", s0=0.2, s1=0.3, s2=0.5), "lang": goal("lang", de=0.5, en=0.5)}, rounds=25 if one_task else 12)
     assert out.columns[: len(docs.columns)] == docs.columns
     got = out.selectExpr("source", "lang", "mix_tokens * mix_probability as t", "mix_tokens * int(mix_kept) as k").toPandas()
     share = got.groupby("source").t.sum() / got.t.sum()
