@@ -30,8 +30,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import bins_for, keyed, materialise, mix64, rows_of, ship, text_bytes, words_at, word_hashes
 
 HOT_RUNS = 20_000
-GROUP_BYTES = 6 << 20  # of text in a group of documents
-BIN_BYTES = 8 << 20  # of records in a bin
+GROUP_BYTES = 2 << 20  # of text in a group of documents
+BIN_BYTES = 3 << 20  # of records in a bin
 SEGMENT = 1 << 20  # longer texts are cut for the search of anchors, with overlaps
 
 RUN = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("s", "<i8"), ("n", "<u2"), ("a", "<u2")])
