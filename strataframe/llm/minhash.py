@@ -28,7 +28,7 @@ from .common import bins_for, materialise, mix64, rows_of, ship, word_hashes
 from .components import components
 
 SHINGLE = 5
-PERCENT = 85  # 100 * intersection >= PERCENT * union
+PERCENT = 80  # 100 * intersection >= PERCENT * union
 BANDS, ROWS = 40, 7
 SKETCH_BITS = 128
 BLOCK = 1000  # sets in a block

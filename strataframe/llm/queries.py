@@ -58,7 +58,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents")).drop("row_key")
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).drop("row_key")
 
 
 @_query

@@ -89,3 +89,20 @@ def test_components(spark):
     assert all(got[i] == 100 for i in range(100, 161)) and got[200] == got[9] == got[7] == 7
     assert all(got[b] == 500 for a, b in links if a == 500)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_stage_joins_copies_at_80(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    rows = []
+    for _ in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(64)]
+        k = r.randrange(1, 20)
+        # a pair at 75 to 100 %: 60 shingles, of which the copy lacks up to 15
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: 64 - k]))]
+    words = [f"v{i}" for i in range(24)]
+    rows += [(1000, " ".join(words)), (1001, " ".join(words[:20])), (1002, " ".join(words[:19]))]  # exactly 80 %, then 75 %
+    got = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    want, at_85 = ({i for i, n, c in brute(rows, p) if i == c} for p in (80, 85))
+    assert got == want != at_85 and 1001 not in got
