@@ -1,9 +1,9 @@
 """Operator 7: near-duplicate documents by circulant MinHash, banding and exact Jaccard verification.
 
 Two permutations of the 2**32 shingle hashes are enough for all coordinates: sigma scatters the shingles, and
-coordinate k is the smallest value of pi, shifted circularly by k, over a document's shingles. BANDS bands of ROWS
-coordinates make candidates; with 40 bands of 7, a pair at a Jaccard similarity of 0.85 is missed with probability
-2e-7. Exact copies of a shingle set are merged first. Links of different sets come about in three steps:
+coordinate k is the smallest value of pi, shifted circularly by k, over a document's shingles. Bands of coordinates make
+candidates; their number and width follow from the similarity asked for, so that a pair exactly at it is missed with
+probability MISS at most (51 bands of 6 at 0.80, 40 of 7 at 0.85). Exact copies of a shingle set are merged first. Links of different sets come about in three steps:
 
 1. Buckets. Sets that share a band are searched breadth-first on 1-bit sketches: a bucket gives a forest of likely
    links (at most its size), never all pairs. The components of the forests are clusters.
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80  # 100 * intersection >= PERCENT * union
-BANDS, ROWS = 40, 7
+MISS = 2e-7  # probability that a pair exactly at the similarity shares no band
+COORDINATES = 320  # bands * rows at most, where rows of more than 1 allow it
 SKETCH_BITS = 128
 BLOCK = 1000  # sets in a block
 BLOCK_SHINGLES = 2_000_000  # or shingles
@@ -59,6 +62,29 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+@cache
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows of a band): the widest bands within COORDINATES that miss a pair at `percent` with probability MISS at most."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent {percent} is not in 1 to 100")
+    if percent == 100:
+        return 1, COORDINATES
+
+    def bands(rows: int) -> int:
+        return ceil(log(MISS) / log1p(-((percent / 100) ** rows)))
+
+    rows = 1
+    while bands(rows + 1) * (rows + 1) <= COORDINATES:
+        rows += 1
+    return bands(rows), rows
+
+
+def coordinates_for(percent: int) -> int:
+    """Coordinates that the bands and the sketch need."""
+    bands, rows = banding(percent)
+    return max(bands * rows, SKETCH_BITS)
+
+
 def _pi(x: np.ndarray) -> np.ndarray:
     """A permutation of the 32-bit numbers, in place."""
     x *= np.uint32(0x85EBCA6B)
@@ -67,7 +93,7 @@ def _pi(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """Circulant MinHash: coordinate k is the minimum of pi(sigma(shingle) + k)."""
     sigma = (mix64(shingles) >> np.uint64(32)).astype(np.uint32)
     shifts, best = np.arange(coordinates, dtype=np.uint32), np.full(coordinates, 0xFFFFFFFF, np.uint32)
@@ -77,9 +103,10 @@ def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarr
     return best
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in sig.reshape(BANDS, ROWS).T:
+def band_keys(sig: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    bands, rows = banding(percent)
+    h = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in sig[: bands * rows].reshape(bands, rows).T:
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + column)
     return h
 
@@ -138,7 +165,7 @@ def exact_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """doc_id, node, row_key, text -> doc_id, node, row_key, n, two halves of the set's 128-bit fingerprint, band keys, sketch."""
     for part, texts in rows_of(batches):
         out: list[list] = [[], [], [], [], []]
@@ -149,9 +176,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if raw not in seen:
-                    sig = signature(s)
+                    sig = signature(s, coordinates_for(percent))
                     f1, f2 = np.frombuffer(raw, "<i8").tolist()
-                    seen[raw] = (len(s), f1, f2, band_keys(sig).tobytes(), sketch(sig).tobytes())
+                    seen[raw] = (len(s), f1, f2, band_keys(sig, percent).tobytes(), sketch(sig).tobytes())
                 row = seen[raw]
             for column, v in zip(out, row, strict=True):
                 column.append(v)
@@ -160,13 +187,14 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _likely(sets: DataFrame, bins: int, percent: int) -> DataFrame:
     """Likely links (a, b) of nodes, from the forests of all buckets."""
+    bands, _ = banding(percent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                out = np.empty((part.num_rows, BANDS), _BUCKET)
-                out["key"] = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, BANDS)
+                out = np.empty((part.num_rows, bands), _BUCKET)
+                out["key"] = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, bands)
                 out["node"], out["n"] = np.asarray(part.column(0))[:, None], np.asarray(part.column(1))[:, None]
                 out["sketch"] = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u8").reshape(-1, 1, 2)
                 out = out.ravel()
@@ -218,11 +246,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     node = F.coalesce(doc, F.lit(TOP) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
     rows = docs.select(doc.alias("doc_id"), node.alias("node"), F.xxhash64(doc, text).alias("row_key"), text.alias("text"))
-    held = materialise(rows.mapInArrow(_profiles, "doc_id long, node long, row_key long, n long, f1 long, f2 long, bands binary, sketch binary"), "profiles")
+    held = materialise(rows.mapInArrow(lambda batches: _profiles(batches, percent), "doc_id long, node long, row_key long, n long, f1 long, f2 long, bands binary, sketch binary"), "profiles")
     sets = held.where("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     sets = materialise(sets, "sets")
     n_sets = sets.count()
-    likely = materialise(_likely(sets, bins_for(n_sets * BANDS * _BUCKET.itemsize, BIN_BYTES), percent), "likely")
+    likely = materialise(_likely(sets, bins_for(n_sets * banding(percent)[0] * _BUCKET.itemsize, BIN_BYTES), percent), "likely")
     clusters = components(likely)  # node, cluster
     sizes = clusters.join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")

@@ -106,3 +106,20 @@ def test_pipeline_stage_joins_copies_at_80(spark):
     got = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     want, at_85 = ({i for i, n, c in brute(rows, p) if i == c} for p in (80, 85))
     assert got == want != at_85 and 1001 not in got
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 70, 80, 85, 95, 99, 100])
+def test_bands_follow_percent(percent):
+    bands, rows = minhash.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
+    sig = minhash.signature(np.arange(50, dtype=np.uint64), minhash.coordinates_for(percent))
+    assert len(minhash.band_keys(sig, percent)) == bands and len(minhash.sketch(sig)) == 2
+
+
+def test_low_percent_is_found(spark):
+    rows = []
+    for i in range(100):
+        words = [f"{i}w{j}" for j in range(84)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:44]))]  # 40 of 80 shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in minhash.near_duplicates(docs, 50).collect())
