@@ -1,7 +1,7 @@
 """Operator 8: language identification with language-bitmask n-gram filters.
 
 One table of 2**SLOT_BITS slots is a bit-sliced Bloom filter of all languages at once: slot s holds a mask with a
-bit for each language, and an n-gram's languages are the AND of the masks at its HASHES slots. A text's n-grams give
+bit for each language, in as many words of WORD bits as the languages need, and an n-gram's languages are the AND of the masks at its HASHES slots. A text's n-grams give
 a count of hits per language (a popcount per bit); a language whose filter answers yes by chance with rate f gets
 (hits - f * n) / (1 - f) of its n n-grams. The largest share decides. The filters hold the PROFILE n-grams that most
 distinguish a language's sample, fitted on at most FIT_ROWS rows of each language, SAMPLE bytes of each.
@@ -24,7 +24,7 @@ GRAM = 5  # bytes
 SLOT_BITS, HASHES = 19, 2
 PROFILE = 12_000
 FIT_ROWS, SAMPLE = 1500, 4096
-LANGUAGES = 64
+WORD = 64  # languages of a mask word
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256)], np.uint8)
@@ -54,41 +54,40 @@ def slots(g: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """Languages, the slot table and each language's rate of false answers."""
+    """Languages, the slot table (a row for each mask word) and each language's rate of false answers."""
 
     def __init__(self, languages: list[str], table: np.ndarray, false_rates: np.ndarray):
         self.languages, self.table, self.false_rates = languages, table, false_rates
 
     @classmethod
     def fit(cls, samples: dict[str, list[bytes]]) -> Filters:
-        names = sorted(samples)[:LANGUAGES]
+        names = sorted(samples)
         counted = {}
         for name in names:
             g, n = np.unique(grams(samples[name])[0], return_counts=True)
             counted[name] = (g, n / max(n.sum(), 1))
         if not counted:
-            return cls([], np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0))
+            return cls([], np.zeros((0, 1 << SLOT_BITS), np.uint64), np.zeros(0))
         every, back = np.unique(np.concatenate([counted[x][0] for x in names]), return_inverse=True)
-        rate, at = np.zeros((len(names), len(every))), 0
+        whole = np.bincount(back, weights=np.concatenate([counted[x][1] for x in names]), minlength=len(every))
+        table, at = np.zeros((-(-len(names) // WORD), 1 << SLOT_BITS), np.uint64), 0
         for i, x in enumerate(names):
             g, share = counted[x]
-            rate[i, back[at : at + len(g)]] = share
+            other = (whole[back[at : at + len(g)]] - share) / max(len(names) - 1, 1)
             at += len(g)
-        table, whole = np.zeros(1 << SLOT_BITS, np.uint64), rate.sum(axis=0)
-        for i in range(len(names)):
-            other = (whole - rate[i]) / max(len(names) - 1, 1)
-            worth = np.where(rate[i] > 2 * other, rate[i] - other, 0)  # how much more often it occurs here
+            worth = np.where(share > 2 * other, share - other, 0)  # how much more often it occurs here
             best = np.argsort(-worth, kind="stable")[:PROFILE]
             best = best[worth[best] > 0]
-            for s in slots(every[best]):
-                np.bitwise_or.at(table, s, np.uint64(1) << np.uint64(i))
-        fill = np.array([((table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(names))])
+            for s in slots(g[best]):
+                np.bitwise_or.at(table[i // WORD], s, np.uint64(1) << np.uint64(i % WORD))
+        fill = np.array([((table[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(len(names))])
         return cls(names, table, fill**HASHES)
 
     def masks(self, g: np.ndarray) -> np.ndarray:
-        out = np.full(len(g), np.uint64(0xFFFFFFFFFFFFFFFF))
+        """A row for each mask word."""
+        out = np.full((len(self.table), len(g)), np.uint64(0xFFFFFFFFFFFFFFFF))
         for s in slots(g):
-            out &= self.table[s]
+            out &= self.table[:, s]
         return out
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +95,7 @@ class Filters:
         g, owner = grams(texts)
         m, size = self.masks(g), len(texts)
         n = np.bincount(owner, minlength=size)
-        hits = np.array([np.bincount(owner, weights=((m >> np.uint64(i)) & np.uint64(1)).astype(np.float64), minlength=size) for i in range(len(self.languages))])
+        hits = np.array([np.bincount(owner, weights=((m[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).astype(np.float64), minlength=size) for i in range(len(self.languages))])
         true = np.maximum((hits - self.false_rates[:, None] * n) / (1 - self.false_rates[:, None] + 1e-12), 0) + 1e-3
         share = true / true.sum(axis=0)
         best = share.argmax(axis=0)
@@ -106,10 +105,10 @@ class Filters:
 def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, parts: int = 5, part: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from at most fit_rows rows of each language outside the held-out part, in hash order of the id, SAMPLE bytes from the middle of each.
 
-    Null languages and null texts are not learned from. At most 64 languages (the width of a mask), the first in name order.
+    Null languages and null texts are not learned from.
     """
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out("id", parts, part))
-    names = sorted(r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(LANGUAGES).collect())
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE) / 2)).cast("int"), F.lit(SAMPLE))
     picked = None
     for name in names:

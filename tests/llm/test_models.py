@@ -150,3 +150,21 @@ def test_pipeline(spark):
     assert set(after.doc_id) <= set(before.doc_id) and len(after) > len(before) / 3
     before, after = held["packing"]
     assert set(after.doc_id) == set(before.doc_id)
+
+
+def test_more_languages_than_a_mask_word():
+    r = random.Random(9)
+    parts = {f"l{i:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(4)] for i in range(140)}
+    text = lambda lang: " ".join("".join(r.choice(parts[lang]) for _ in range(3)) for _ in range(30)).encode()
+    f = langid.Filters.fit({lang: [text(lang) for _ in range(5)] for lang in parts})
+    best, score = f.predict([text(lang) for lang in parts])
+    assert [f.languages[i] for i in best] == list(parts) and (score > 0.5).all()
+
+
+def test_languages_past_the_64th_are_learned(spark):
+    words = {f"l{i:02d}": "".join(chr(97 + (i * k + k * k) % 26) for k in range(3, 15)) + f"{chr(97 + i // 26)}{chr(97 + i % 26)}xyz" for i in range(66)}
+    docs = spark.createDataFrame([(i, f"{w} {w}", lang) for i, (lang, w) in enumerate([*words.items()] * 5)], "doc_id long, text string, lang string")
+    filters = langid.fit_languages(docs)
+    assert filters.languages == list(words)
+    last = langid.identify(docs.where("lang >= 'l64'"), filters).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(last) == 10 and all(x["lang_pred"] == x["lang"] for x in last)
