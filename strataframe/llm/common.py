@@ -36,9 +36,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below spark.checkpoint.dir; that setting is made here only where it is unset."""
+    """A fresh path below spark.checkpoint.dir; where it is unset, a local session has one in its temporary folder and a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "strataframe-checkpoints")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -62,6 +64,11 @@ def bins_for(total: int, each: int, least: int = 8) -> int:
     return max(least, math.ceil(total / each))
 
 
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df by key in n partitions: for group-bys on the key, so that more input makes more tasks, not larger ones."""
+    return df.repartition(n, key)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list | None = None) -> DataFrame:
     """(k1, k2, doc_id, text, *more): k1, k2 identify the pair (id, text), never null.
 

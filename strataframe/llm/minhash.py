@@ -3,14 +3,16 @@
 Two permutations of the 2**32 shingle hashes are enough for all coordinates: sigma scatters the shingles, and
 coordinate k is the smallest value of pi, shifted circularly by k, over a document's shingles. Bands of coordinates make
 candidates; their number and width follow from the similarity asked for, so that a pair exactly at it is missed with
-probability MISS at most (51 bands of 6 at 0.80, 40 of 7 at 0.85). Exact copies of a shingle set are merged first. Links of different sets come about in three steps:
+probability MISS at most (51 bands of 6 at 0.80, 40 of 7 at 0.85). Exact copies of a shingle set are merged first; a
+set is a node with a number of its own, so ids may be any longs or null. Links of different sets come about in three steps:
 
 1. Buckets. Sets that share a band are searched breadth-first on 1-bit sketches: a bucket gives a forest of likely
    links (at most its size), never all pairs. The components of the forests are clusters.
 2. Clusters. Full shingle sets meet in their cluster, in blocks of at most BLOCK sets, together with the cluster's
    best-linked sets; a breadth-first search with exact intersections finds the components of each block.
-3. Clusters of more than one block. Sets that are not yet in their cluster's largest component meet every block of
-   it. All pairs of a cluster that could join two components have then been compared exactly.
+3. Clusters of more than one block. Sets that are not yet in their cluster's largest component, the outsiders, meet
+   every block of it, up to BLOCK outsiders at once: a block travels once for so many outsiders, not once a block. All
+   pairs of a cluster that could join two components have then been compared exactly.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bins_for, materialise, mix64, rows_of, ship, word_hashes
+from .common import bins_for, dealt, materialise, mix64, rows_of, ship, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -39,7 +41,6 @@ BLOCK_SHINGLES = 2_000_000  # or shingles
 HUBS = 8
 BIN_BYTES = 8 << 20
 _BUCKET = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("sketch", "<u8", (2,))])
-TOP = 1 << 62  # nodes of null ids lie above; ids below
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -166,7 +167,7 @@ def exact_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, node, row_key, text -> doc_id, node, row_key, n, two halves of the set's 128-bit fingerprint, band keys, sketch."""
+    """doc_id, row_key, text -> doc_id, row_key, n, two halves of the set's 128-bit fingerprint, band keys, sketch."""
     for part, texts in rows_of(batches):
         out: list[list] = [[], [], [], [], []]
         seen: dict[bytes, tuple] = {}
@@ -182,11 +183,11 @@ def _profiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 row = seen[raw]
             for column, v in zip(out, row, strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "node", "row_key", "n", "f1", "f2", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "row_key", "n", "f1", "f2", "bands", "sketch"])
 
 
 def _likely(sets: DataFrame, bins: int, percent: int) -> DataFrame:
-    """Likely links (a, b) of nodes, from the forests of all buckets."""
+    """Likely links (a, b) of nodes, from the forests of all buckets; a pair may come from several buckets."""
     bands, _ = banding(percent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,72 +219,115 @@ def _likely(sets: DataFrame, bins: int, percent: int) -> DataFrame:
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     sent = sets.select("node", "n", "bands", "sketch").mapInArrow(send, "bin long, members binary")
-    return sent.groupBy("bin").applyInArrow(meet, "a long, b long").distinct()
+    return dealt(sent, "bin", bins).groupBy("bin").applyInArrow(meet, "a long, b long")
+
+
+def _block_links(table: pa.Table, percent: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """(nodes of a block, links between their places); a set that came twice is there once."""
+    nodes, first = np.unique(np.asarray(table.column("node")), return_index=True)
+    texts = table.column("text").take(pa.array(first)).to_pylist()
+    return nodes.tolist(), exact_forest(shingle_sets([t.encode() for t in texts]), percent)
 
 
 def _verified(members: DataFrame, percent: int) -> DataFrame:
     """members: cluster, part, node, text. Links (a, b) within each (cluster, part), exact."""
 
     def meet(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_pylist()
-        links = exact_forest(shingle_sets([t.encode() for t in table.column("text").to_pylist()]), percent)
-        return pa.table({"a": pa.array([ids[p] for p, _ in links], pa.int64()), "b": pa.array([ids[x] for _, x in links], pa.int64())})
+        nodes, links = _block_links(table, percent)
+        return pa.table({"a": pa.array([nodes[p] for p, _ in links], pa.int64()), "b": pa.array([nodes[x] for _, x in links], pa.int64())})
+
+    return members.select("cluster", "part", "node", "text").groupBy("cluster", "part").applyInArrow(meet, "a long, b long")
 
-    return members.groupBy("cluster", "part").applyInArrow(meet, "a long, b long")
+
+def _whole(members: DataFrame, percent: int) -> DataFrame:
+    """members: cluster, node, text; clusters of one block. (node, component) of every node."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        nodes, links = _block_links(table, percent)
+        root = list(range(len(nodes)))
+        for p, x in links:  # a forest in breadth-first order: p has its root
+            root[x] = root[p]
+        least: dict[int, int] = {}
+        for node, r in zip(nodes, root, strict=True):
+            least[r] = min(node, least.get(r, node))
+        return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([least[r] for r in root], pa.int64())})
+
+    return members.select("cluster", "node", "text").groupBy("cluster").applyInArrow(meet, "node long, component long")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose node (the first column) the task has not met before."""
+    seen: set[int] = set()
+    for batch in batches:
+        nodes = batch.column(0).to_pylist()
+        fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+        yield batch.take(pa.array(fresh, pa.int64()))
+
+
+def _large(large: DataFrame, likely: DataFrame, percent: int) -> DataFrame:
+    """large: cluster, part, blocks, node, text of clusters of several blocks. (node, component) of their linked nodes."""
+    places = large.select("cluster", "blocks", "node").distinct()
+    degree = likely.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    order = Window.partitionBy("cluster").orderBy(F.desc("count"), "node")
+    hubs = places.join(degree, "node").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("node")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    hubs = large.join(hubs, "node", "left_semi").withColumn("part", every)
+    first = components(materialise(_verified(large.unionByName(hubs), percent), "verified"))
+    first = materialise(first, "first")
+    held = places.join(first, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    main = held.groupBy("cluster", "c").count().groupBy("cluster").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    outside = held.join(main, "cluster").where("c <> main").select("cluster", "node")
+    rounds = outside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rounds"))
+    # every block meets up to about BLOCK outsiders at a time
+    outside = materialise(outside.join(rounds, "cluster").select("node", "rounds", F.pmod(F.xxhash64("node", F.lit(1)), "rounds").cast("int").alias("turn")), "outside")
+    meeting = (F.col("turn") * F.col("blocks") + F.col("part")).alias("part")
+    left = large.drop("part").join(outside, "node").withColumn("part", every).select("cluster", meeting, "node", "text")
+    turns = outside.join(places, "node").select("cluster", "rounds").distinct()
+    right = large.join(turns, "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).select("cluster", meeting, "node", "text")
+    links = _verified(left.unionByName(right), percent).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(materialise(links, "verified"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept, row_key.
 
     Links: 100 * intersection >= percent * union of the sets of 5-word shingles. kept: the document's id is its
-    component's. Null, empty and blank texts have an empty set and no links. Documents with equal ids are one node, so
-    each has the other's links. A null id counts as larger than all ids (which must be below 2**62); its component_id
-    is null where it reaches no id, and then the documents of the component's first text are kept. row_key is the
-    hash of id and text. No rows give no rows. Other columns are not read.
+    component's. Null, empty and blank texts have an empty set and no links: they are kept. Rows with equal ids are
+    documents of their own. A null id is no smallest id; where a component has no other, its component_id is null and
+    the documents of one of its sets are kept. row_key is the hash of id and text. No rows give no rows. Other columns
+    are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    node = F.coalesce(doc, F.lit(TOP) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
-    rows = docs.select(doc.alias("doc_id"), node.alias("node"), F.xxhash64(doc, text).alias("row_key"), text.alias("text"))
-    held = materialise(rows.mapInArrow(lambda batches: _profiles(batches, percent), "doc_id long, node long, row_key long, n long, f1 long, f2 long, bands binary, sketch binary"), "profiles")
-    sets = held.where("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    sets = materialise(sets, "sets")
-    n_sets = sets.count()
-    likely = materialise(_likely(sets, bins_for(n_sets * banding(percent)[0] * _BUCKET.itemsize, BIN_BYTES), percent), "likely")
-    clusters = components(likely)  # node, cluster
-    sizes = clusters.join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = materialise(clusters.join(sizes.select("component", blocks.alias("blocks")), "component").select(F.col("component").alias("cluster"), "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part")), "placed")
-    texts = materialise(rows.where("text is not null").select("node", "text").join(placed, "node"), "members")
-
-    small = texts.where("blocks = 1").select("cluster", "part", "node", "text")
+    rows = docs.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("row_key"), text.alias("text"))
+    held = materialise(rows.mapInArrow(lambda batches: _profiles(batches, percent), "doc_id long, row_key long, n long, f1 long, f2 long, bands binary, sketch binary"), "profiles")
+    sets = held.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # the numbers hold from here on
+    likely = materialise(_likely(sets, bins_for(sets.count() * banding(percent)[0] * _BUCKET.itemsize, BIN_BYTES), percent), "likely")
+    members = components(likely).join(sets.select("node", "row_key", "n"), "node")
+    members = materialise(members.withColumnRenamed("component", "cluster"), "clusters")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    placed = members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select("row_key", "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"))
+    texts = rows.where("text is not null").join(placed, "row_key").select("node", "cluster", "blocks", "part", "text")
+    texts = materialise(texts.mapInArrow(_once, texts.schema), "members")
+
+    found = _whole(texts.where("blocks = 1"), percent)
     large = texts.where("blocks > 1")
-    links = _verified(small, percent)
-    if not placed.where("blocks > 1").isEmpty():
-        degree = likely.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-        order = Window.partitionBy("cluster").orderBy(F.desc("count"), "node")
-        hubs = placed.where("blocks > 1").join(degree, "node").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("node")
-        hubs = large.join(hubs, "node", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        first = materialise(_verified(large.unionByName(hubs).select("cluster", "part", "node", "text"), percent), "verified")
-        joined = large.select("cluster", "node").distinct().join(components(first), "node", "left").withColumn("c", F.coalesce("component", "node"))
-        main = joined.groupBy("cluster", "c").count().groupBy("cluster").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        outside = materialise(joined.join(main, "cluster").where("c <> main").select("node"), "outside")
-        # each block of outsiders meets each block of its cluster
-        own = large.join(outside, "node", "left_semi").withColumn("half", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
-        halves = own.select("cluster", "half").distinct()
-        left = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", (F.col("half") * F.col("blocks") + F.col("other")).alias("part"), "node", "text")
-        right = large.join(halves, "cluster").select("cluster", (F.col("half") * F.col("blocks") + F.col("part")).alias("part"), "node", "text")
-        links = links.unionByName(first).unionByName(_verified(left.unionByName(right), percent))
-    found = components(links)
-    classes = sets.select("f1", "f2", "node").join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
-    out = held.select("doc_id", "node", "row_key", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").withColumn("component", F.coalesce("component", "node"))
-    component = F.when(F.col("component") < TOP, F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("node") == F.col("component")).alias("kept"), "row_key")
+    if not large.isEmpty():
+        found = found.unionByName(_large(large, likely, percent))
+    found = materialise(found, "found")
+    ids = found.join(sets.select("node", "id"), "node")
+    least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
+    classes = sets.select("f1", "f2", "node", "id").join(found.join(least, "component"), "node", "left")
+    classes = classes.select("f1", "f2", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("component", "node") == F.col("node")).alias("first"))
+    out = held.select("doc_id", "row_key", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    kept = F.when(F.col("n") == 0, True).when(F.col("component_id").isNull(), F.col("first")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "row_key")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept documents with all their columns; rows that repeat both id and text stay once. Edge cases as in `near_duplicates`."""
-    kept = near_duplicates(docs, percent, id_col, text_col).where("kept").select(F.col("row_key").alias("__key"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-    return keyed.join(materialise(kept.distinct(), "kept"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = near_duplicates(docs, percent, id_col, text_col).where("kept").select("row_key")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row_key"))
+    return held.join(materialise(kept.distinct(), "kept"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")

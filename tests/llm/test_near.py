@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from strataframe.llm import components as joining
 from strataframe.llm import minhash
 from strataframe.llm.components import components
 
@@ -91,6 +92,37 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("part", [64, 400])
+def test_components_of_many_parts(spark, monkeypatch, part):
+    """Chains of rising ids, a star and random links over many small parts, against union-find."""
+    monkeypatch.setattr(joining, "PART_BYTES", part)
+    r = random.Random(6)
+    links = [(i, i + 1) for i in range(300)] + [(5000, 5001 + i) for i in range(200)] + [(10_000 + r.randrange(300), 10_000 + r.randrange(300)) for _ in range(260)] + [(-(2**63), 2**63 - 1), (2**62, 2**63 - 1)]
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    r.shuffle(links)
+    got = [(x["node"], x["component"]) for x in components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in {x for a, b in links if a != b for x in (a, b)})
+
+
+def test_any_ids_and_column_names(spark):
+    text, other = "one two three four five six seven", "a b c d e f g h"
+    rows = [(2**62, text, 1), (2**63 - 1, text, 2), (None, text, 3), (None, other, 4), (None, other, 4), (-(2**63), None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key long")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(2**62, 2**62, True), (2**63 - 1, 2**62, False), (None, 2**62, False), (None, None, True), (None, None, True), (-(2**63), -(2**63), True)], key=str)
+    out = minhash.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r["__key"] for r in out.collect()) == [1, 4, 5]
+
+
 def test_pipeline_stage_joins_copies_at_80(spark):
     import corpus_pipeline
 
