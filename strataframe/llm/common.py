@@ -64,9 +64,12 @@ def bins_for(total: int, each: int, least: int = 8) -> int:
     return max(least, math.ceil(total / each))
 
 
-def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
-    """df by key in n partitions: for group-bys on the key, so that more input makes more tasks, not larger ones."""
-    return df.repartition(n, key)
+TASK_BYTES = 16 << 20  # that a task reads from an exchange, about
+
+
+def dealt(df: DataFrame, keys: str | list[str], n: int) -> DataFrame:
+    """df by keys in n partitions: for group-bys and joins on them, so that more input makes more tasks, not larger ones."""
+    return df.repartition(n, *([keys] if isinstance(keys, str) else keys))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bins_for, dealt, materialise, mix64, rows_of, ship, word_hashes
+from .common import TASK_BYTES, bins_for, dealt, materialise, mix64, rows_of, ship, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -229,17 +229,17 @@ def _block_links(table: pa.Table, percent: int) -> tuple[list[int], list[tuple[i
     return nodes.tolist(), exact_forest(shingle_sets([t.encode() for t in texts]), percent)
 
 
-def _verified(members: DataFrame, percent: int) -> DataFrame:
+def _verified(members: DataFrame, tasks: int, percent: int) -> DataFrame:
     """members: cluster, part, node, text. Links (a, b) within each (cluster, part), exact."""
 
     def meet(table: pa.Table) -> pa.Table:
         nodes, links = _block_links(table, percent)
         return pa.table({"a": pa.array([nodes[p] for p, _ in links], pa.int64()), "b": pa.array([nodes[x] for _, x in links], pa.int64())})
 
-    return members.select("cluster", "part", "node", "text").groupBy("cluster", "part").applyInArrow(meet, "a long, b long")
+    return dealt(members.select("cluster", "part", "node", "text"), ["cluster", "part"], tasks).groupBy("cluster", "part").applyInArrow(meet, "a long, b long")
 
 
-def _whole(members: DataFrame, percent: int) -> DataFrame:
+def _whole(members: DataFrame, tasks: int, percent: int) -> DataFrame:
     """members: cluster, node, text; clusters of one block. (node, component) of every node."""
 
     def meet(table: pa.Table) -> pa.Table:
@@ -252,7 +252,7 @@ def _whole(members: DataFrame, percent: int) -> DataFrame:
             least[r] = min(node, least.get(r, node))
         return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([least[r] for r in root], pa.int64())})
 
-    return members.select("cluster", "node", "text").groupBy("cluster").applyInArrow(meet, "node long, component long")
+    return dealt(members.select("cluster", "node", "text"), "cluster", tasks).groupBy("cluster").applyInArrow(meet, "node long, component long")
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +264,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(fresh, pa.int64()))
 
 
-def _large(large: DataFrame, likely: DataFrame, percent: int) -> DataFrame:
+def _large(large: DataFrame, likely: DataFrame, tasks: int, percent: int) -> DataFrame:
     """large: cluster, part, blocks, node, text of clusters of several blocks. (node, component) of their linked nodes."""
     places = large.select("cluster", "blocks", "node").distinct()
     degree = likely.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
@@ -272,7 +272,7 @@ def _large(large: DataFrame, likely: DataFrame, percent: int) -> DataFrame:
     hubs = places.join(degree, "node").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("node")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     hubs = large.join(hubs, "node", "left_semi").withColumn("part", every)
-    first = components(materialise(_verified(large.unionByName(hubs), percent), "verified"))
+    first = components(materialise(_verified(large.unionByName(hubs), tasks, percent), "verified"))
     first = materialise(first, "first")
     held = places.join(first, "node", "left").withColumn("c", F.coalesce("component", "node"))
     main = held.groupBy("cluster", "c").count().groupBy("cluster").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
@@ -284,7 +284,7 @@ def _large(large: DataFrame, likely: DataFrame, percent: int) -> DataFrame:
     left = large.drop("part").join(outside, "node").withColumn("part", every).select("cluster", meeting, "node", "text")
     turns = outside.join(places, "node").select("cluster", "rounds").distinct()
     right = large.join(turns, "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).select("cluster", meeting, "node", "text")
-    links = _verified(left.unionByName(right), percent).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    links = _verified(left.unionByName(right), tasks, percent).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return components(materialise(links, "verified"))
 
 
@@ -309,13 +309,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     members = materialise(members.withColumnRenamed("component", "cluster"), "clusters")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select("row_key", "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"))
-    texts = rows.where("text is not null").join(placed, "row_key").select("node", "cluster", "blocks", "part", "text")
+    # the texts of all documents, by key, meet the members: the same join at every size
+    tasks = bins_for(8 * (held.agg(F.sum("n")).first()[0] or 0), TASK_BYTES)
+    texts = dealt(rows.where("text is not null"), "row_key", tasks).hint("merge").join(dealt(placed, "row_key", tasks), "row_key").select("node", "cluster", "blocks", "part", "text")
     texts = materialise(texts.mapInArrow(_once, texts.schema), "members")
 
-    found = _whole(texts.where("blocks = 1"), percent)
+    tasks = bins_for(8 * (members.agg(F.sum("n")).first()[0] or 0), TASK_BYTES // 2)
+    found = _whole(texts.where("blocks = 1"), tasks, percent)
     large = texts.where("blocks > 1")
     if not large.isEmpty():
-        found = found.unionByName(_large(large, likely, percent))
+        found = found.unionByName(_large(large, likely, tasks, percent))
     found = materialise(found, "found")
     ids = found.join(sets.select("node", "id"), "node")
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
