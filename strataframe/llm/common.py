@@ -64,7 +64,7 @@ def bins_for(total: int, each: int, least: int = 8) -> int:
     return max(least, math.ceil(total / each))
 
 
-TASK_BYTES = 16 << 20  # that a task reads from an exchange, about
+TASK_BYTES = 8 << 20  # that a task reads from an exchange, about
 
 
 def dealt(df: DataFrame, keys: str | list[str], n: int) -> DataFrame:

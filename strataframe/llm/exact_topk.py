@@ -4,46 +4,46 @@ Each vector is approximated by a cell number per component (CELL_BITS bits betwe
 approximations of a shard are one packed matrix next to the exact vectors. A query scans all cells first: with the
 cell's middle and half width it bounds every inner product from both sides. Vectors whose upper bound is below the
 k-th largest lower bound are out; the exact vectors of the others are read in order of their upper bound, until the
-k-th best exact score is above the next bound. Scores are exact integers.
+k-th best exact score is above the next bound. Scores are exact integers. The k-th best score found in a first shard
+bounds the queries everywhere else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bins_for, materialise, ship
-from .vectors import best, matrix, search, taking_part
+from .common import ship
+from .vectors import best, build_shards, search, taking_part
 
 CELL_BITS = 6
 SHARD_ROWS = 8192
 SCALE = 1024
+LARGEST = 65_536.0  # of a component; inner products of up to 2,047 such components fit a long
 READ = 64  # exact vectors read at a time
 
 
-def build_va_file(rows: DataFrame, n: int) -> DataFrame:
-    """One row per shard: shard, ids, low and width of each component's cells, cells (bytes), exact (integers)."""
-    shards = bins_for(n, SHARD_ROWS, 1)
+def va_columns(ids: np.ndarray, vectors: np.ndarray) -> dict[str, bytes]:
+    """A shard's file: ids, low and width of each component's cells, cells (bytes), exact (integers)."""
+    exact = np.floor(vectors * SCALE)
+    low, high = exact.min(axis=0), exact.max(axis=0)
+    width = np.maximum((high - low) / (1 << CELL_BITS), 1e-9)
+    cells = np.minimum((exact - low) // width, (1 << CELL_BITS) - 1).astype(np.uint8)
+    return {"ids": ids.astype("<i8").tobytes(), "low": low.tobytes(), "width": width.tobytes(), "cells": cells.tobytes(), "exact": exact.astype("<i8").tobytes()}
+
 
-    def build(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table.column("vec_id"))
-        exact = np.floor(matrix(table.column("v")) * SCALE)
-        low, high = exact.min(axis=0), exact.max(axis=0)
-        width = np.maximum((high - low) / (1 << CELL_BITS), 1e-9)
-        cells = np.minimum((exact - low) // width, (1 << CELL_BITS) - 1).astype(np.uint8)
-        row = {"shard": [table.column("shard")[0].as_py()], "ids": [ids.astype("<i8").tobytes()], "low": [low.tobytes()], "width": [width.tobytes()], "cells": [cells.tobytes()], "exact": [exact.astype("<i8").tobytes()]}
-        return pa.table(row, schema=pa.schema([("shard", pa.int64()), *((x, pa.binary()) for x in ("ids", "low", "width", "cells", "exact"))]))
+def open_va(row: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, low, width, cells, exact) of a shard's row."""
+    ids = np.frombuffer(row["ids"], "<i8")
+    return ids, np.frombuffer(row["low"]), np.frombuffer(row["width"]), np.frombuffer(row["cells"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["exact"], "<i8").reshape(len(ids), -1)
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
-    return materialise(dealt.groupBy("shard").applyInArrow(build, "shard long, ids binary, low binary, width binary, cells binary, exact binary"), "va-file")
 
+def scan_shard(ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query ids, vector ids, scores) of a shard's k best for every query, and how many exact vectors were read.
 
-def scan_shard(ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query ids, vector ids, scores) of a shard's k best for every query, and how many exact vectors were read."""
+    bounds: scores that a query's k best of all reach at least (not a number: not known); what is below does not count.
+    """
     middle = low + (cells + 0.5) * width
     out: list[list[np.ndarray]] = [[], [], []]
     read = 0
@@ -57,6 +57,8 @@ def scan_shard(ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.nd
                 continue
             kth = min(k, len(others))
             floor = np.partition(centre[i][others], len(others) - kth)[len(others) - kth] - half[i]
+            if bounds is not None and not np.isnan(bounds[a + i]):
+                floor = max(floor, bounds[a + i])
             others = others[upper[others] >= floor]
             others = others[np.argsort(-upper[others], kind="stable")]
             whole, got, scores = q[i].astype(np.int64), 0, np.zeros(0, np.int64)
@@ -66,7 +68,7 @@ def scan_shard(ids: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.nd
                 scores = np.concatenate((scores, exact[others[got : got + READ]] @ whole))
                 got = min(got + READ, len(others))
             read += got
-            at = best(scores, ids[others[:got]], kth, True)
+            at = best(scores, ids[others[:got]], kth, True) if got else others
             for column, v in zip(out, (np.full(len(at), query_ids[a + i]), ids[others[:got]][at], scores[at]), strict=True):
                 column.append(v)
     return *(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out), read
@@ -76,25 +78,19 @@ def exact_top_k(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id",
     """query_id, rank, vec_id, score of each query's k largest integer inner products of floor(1024 * x) vectors.
 
     Queries: rows for which is_query(Column of ids) holds; candidates: every row but the query's own id (ties to the
-    smaller id). Null ids, null or empty vectors, and vectors with a null or non-finite component or of another length
-    than most take no part. A row that repeats an id is a candidate of its own, and its id is not a candidate of
-    itself; a repeated query id is answered once per distinct vector, ranked together. No rows give no rows.
+    smaller id). Null ids, null or empty vectors, and vectors with a null or non-finite component, a component beyond
+    LARGEST (scores would not fit a long) or of another length than most take no part. A row that repeats an id is a
+    candidate of its own, and its id is not a candidate of itself; a repeated query id is answered once per distinct
+    vector, ranked together. No rows give no rows.
     """
     ship(table.sparkSession)
-    rows = taking_part(table, id_col, vector_col)
-    shards = build_va_file(rows, rows.count())
-
-    def find(held: pa.Table, query_ids: np.ndarray, queries: np.ndarray):
-        parts: list[list[np.ndarray]] = [[], [], []]
-        for r in held.to_pylist():
-            ids = np.frombuffer(r["ids"], "<i8")
-            n = len(ids)
-            a, c, s, _ = scan_shard(ids, np.frombuffer(r["low"]), np.frombuffer(r["width"]), np.frombuffer(r["cells"], np.uint8).reshape(n, -1), np.frombuffer(r["exact"], "<i8").reshape(n, -1), query_ids, np.floor(queries * SCALE), k)
-            for column, v in zip(parts, (a, c, s), strict=True):
-                column.append(v)
-        return tuple(np.concatenate(c) for c in parts)
+    rows = taking_part(table, id_col, vector_col, largest=LARGEST)
+    shards, n = build_shards(rows, rows.count(), SHARD_ROWS, va_columns, "va-file")
+
+    def find(shard, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray):
+        return scan_shard(*shard, query_ids, np.floor(queries * SCALE), k, bounds)[:3]
 
-    return search(rows.dropDuplicates(), shards, "shard", is_query(F.col("vec_id")), find, k, "long", True)
+    return search(rows, is_query(F.col("vec_id")), shards, n, SHARD_ROWS * 600, open_va, find, k, "long", True)
 
 
 def exact_top_k_sql(every: int = 100, k: int = 10) -> str:

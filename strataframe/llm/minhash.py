@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     texts = dealt(rows.where("text is not null"), "row_key", tasks).hint("merge").join(dealt(placed, "row_key", tasks), "row_key").select("node", "cluster", "blocks", "part", "text")
     texts = materialise(texts.mapInArrow(_once, texts.schema), "members")
 
-    tasks = bins_for(8 * (members.agg(F.sum("n")).first()[0] or 0), TASK_BYTES // 2)
+    tasks = bins_for(8 * (members.agg(F.sum("n")).first()[0] or 0), TASK_BYTES)
     found = _whole(texts.where("blocks = 1"), tasks, percent)
     large = texts.where("blocks > 1")
     if not large.isEmpty():
