@@ -79,7 +79,7 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if length < 16:
         raise ValueError("windows need at least 16 words")
     x = Exchange(docs, Windows(length, GRAM, CONTEXT, True), id_col, text_col)
-    marks = x.decided(lambda records, strings: decide_smaller(records, strings, length), smaller=True)
+    marks = x.decided(lambda records, strings: decide_smaller(records, strings, length), smaller=True, merge=True)
 
     def each(doc, raw, starts, counts):
         words, out, at = raw.split(), [], 0

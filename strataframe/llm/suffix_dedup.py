@@ -1,8 +1,10 @@
 """Operator 1: suffix-array deduplication, depth-limited.
 
 Suffixes are ordered only through `length` bytes, by passes over digits of 8 bytes from the most significant on.
-The first digit is the anchored context, dealt over the cluster (see windows.py): a suffix alone in its group at
-any pass is unique and leaves. Groups still together after the last digit are exactly the repeated windows.
+The first digit is the anchored context, dealt over the cluster (see windows.py). In its bin every suffix that was sent
+goes through the passes: one alone in its group is unique and leaves; groups still together after the last digit are
+exactly the repeated windows. Equal strings of one group of documents are sent once, with a weight that the passes
+count; nothing else than the passes decides.
 """
 
 from __future__ import annotations
@@ -14,69 +16,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import words_at
-from .windows import MARK, Exchange, Windows, covered, intervals
+from .windows import MARK, Exchange, Windows, covered
 
 LENGTH = 200  # bytes of a repeated string
 GRAM, CONTEXT = 8, 96
 
 
-def radix_groups(raw: bytes, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Indices of the suffixes at `at` that equal another of the same group through `length` bytes."""
-    w, rest, group = words_at(raw), np.arange(len(at)), group.astype(np.int64)
-    for depth in (None, *range(0, length, 8)):
-        if depth is None:
-            order = np.argsort(group, kind="stable")
-            same = group[order][1:] == group[order][:-1]
-        else:
-            digit = w[at[rest] + depth]
-            if length - depth < 8:
-                digit = digit & np.uint64((1 << (8 * (length - depth))) - 1)
-            order = np.lexsort((digit, group))
-            d, g = digit[order], group[order]
-            same = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
-        lone = ~(np.concatenate((same, [False])) | np.concatenate(([False], same)))
-        ids = np.cumsum(np.concatenate(([0], ~same))) if len(order) else order
-        rest, group = rest[order][~lone], ids[~lone]
-        if not len(rest):
-            break
+def radix_groups(raw: bytes, at: np.ndarray, group: np.ndarray, length: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Indices of the suffixes at `at` that equal another of the same group through `length` bytes; weight: how often each stands (default once)."""
+    w, rest = words_at(raw), np.argsort(group, kind="stable")
+    weight = np.ones(len(at), np.int64) if weight is None else weight
+    head = np.concatenate(([True], np.diff(group[rest]) != 0))[: len(rest)]  # first of its group
+
+    def together(rest: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without those alone in their group."""
+        starts = np.flatnonzero(head)
+        if not len(starts):
+            return rest, head
+        stays = np.add.reduceat(weight[rest], starts) > 1
+        if stays.all():
+            return rest, head
+        stays = np.repeat(stays, np.diff(np.append(starts, len(rest))))
+        return rest[stays], head[stays]
+
+    rest, head = together(rest, head)
+    place = at[rest]
+    for depth in range(0, length, 8):
+        digit = w[place + depth]
+        if length - depth < 8:
+            digit &= np.uint64((1 << (8 * (length - depth))) - 1)
+        split = np.concatenate(([False], digit[1:] != digit[:-1])) & ~head if len(rest) else head
+        if not split.any():
+            continue
+        ids = np.cumsum(head) - 1  # only groups whose digits differ are sorted
+        mixed = np.zeros(ids[-1] + 1, bool)
+        mixed[ids[split]] = True
+        where = np.flatnonzero(mixed[ids])
+        order = where[np.lexsort((digit[where], ids[where]))]
+        rest[where], digit[where] = rest[order], digit[order]
+        head = head | np.concatenate(([False], digit[1:] != digit[:-1]))
+        rest, head = together(rest, head)
+        place = at[rest]
     return rest
 
 
 def decide_repeats(records: np.ndarray, strings: list[bytes], length: int) -> np.ndarray:
-    """MARK records of the first places of windows that occur more than once among all records' strings."""
-    sid = records["sid"].astype(np.int64)
-    times = np.bincount(sid, weights=1 + records["many"], minlength=len(strings)).astype(np.int64)
-    _, one = np.unique(sid, return_index=True)
-    heads = records[one]  # a record of each string
-    _, context, alike = np.unique(heads["h"], return_inverse=True, return_counts=True)
-    counts = heads["n"].astype(np.int64)
-    crowd = np.flatnonzero(alike[context] > 1)
-    bounds = np.concatenate(([0], np.cumsum(counts)))
-    flags = np.repeat(times > 1, counts)
-    if len(crowd):
-        sizes = np.array([len(x) for x in strings])
-        place = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        n = counts[crowd]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        offset = np.repeat(heads["a"][crowd].astype(np.int64), n) - step
-        found = radix_groups(b"".join(strings), np.repeat(place[crowd], n) + step, np.repeat(context[crowd], n) * 65536 + offset, length)
-        flags[(np.repeat(bounds[crowd], n) + step)[found]] = True
-    marks = []
-    for r in np.flatnonzero(records["own"]).tolist():
-        a, b = bounds[sid[r]], bounds[sid[r] + 1]
-        part = flags[a:b]
-        if part.all():
-            marks.append((records["k1"][r], records["k2"][r], records["s"][r], b - a))
-        elif part.any():
-            marks += [(records["k1"][r], records["k2"][r], records["s"][r] + i, m) for i, m in intervals(part)]
-    return np.array(marks, MARK)
+    """MARK records of the first places of windows that occur more than once among all records' strings; a record's `many` stands for another copy."""
+    records = records[np.argsort(records["sid"], kind="stable")]  # a record of each string
+    counts = records["n"].astype(np.int64)
+    ends = np.cumsum(counts)
+    place = np.concatenate(([0], np.cumsum([len(x) for x in strings])))[:-1]
+    _, context = np.unique(records["h"], return_inverse=True)
+    step = np.arange(counts.sum()) - np.repeat(ends - counts, counts)
+    at = np.repeat(place, counts) + step
+    group = np.repeat(context.astype(np.int64) * 65536 + records["a"], counts) - step
+    found = radix_groups(b"".join(strings), at, group, length, np.repeat(1 + records["many"].astype(np.int64), counts))
+    flags = np.zeros(len(at) + 1, bool)
+    flags[found] = True
+    flags[:-1] &= np.repeat(records["own"] > 0, counts)
+    edge = np.zeros(len(at) + 1, bool)  # where a string begins
+    edge[ends - counts] = edge[-1] = True
+    first = np.flatnonzero(flags & (edge | ~np.concatenate(([False], flags[:-1]))))
+    last = np.flatnonzero(flags[:-1] & (edge[1:] | ~flags[1:]))
+    of = np.searchsorted(ends, first, side="right")
+    marks = np.empty(len(first), MARK)
+    marks["k1"], marks["k2"], marks["s"], marks["n"] = records["k1"][of], records["k2"][of], records["s"][of] + step[first], last - first + 1
+    return marks
 
 
 def _marks(docs: DataFrame, length: int, id_col: str, text_col: str, carry: bool) -> tuple[Exchange, DataFrame]:
     if length < 32:
         raise ValueError("repeated strings need at least 32 bytes")
     x = Exchange(docs, Windows(length, GRAM, min(CONTEXT, length // 16 * 8), False), id_col, text_col, carry)
-    return x, x.decided(lambda records, strings: decide_repeats(records, strings, length), smaller=False)
+    return x, x.decided(lambda records, strings: decide_repeats(records, strings, length), smaller=False, merge=False)
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

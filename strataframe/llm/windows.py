@@ -4,7 +4,9 @@ A window has an anchor, the place of its smallest hashed k-gram; consecutive win
 a run. Equal windows have equal anchors, and the context that follows an anchor lies inside each of its windows.
 
 1. `candidates`: every run sends the hash of its anchor's context to a bin; a context that occurs once rules its
-   windows out. Runs that stay go to a table in the shared folder, dealt by document.
+   windows out. A context that a slice of text holds several times is known to repeat: its runs stay without asking,
+   and one witness with their number goes to the bin, so a very frequent context sends one record a slice. Runs that
+   stay go to a table in the shared folder, dealt by document.
 2. `exchange`: runs that stay travel as packed strings to the bin of their context, where `decide` finds equal
    windows exactly, on the strings themselves. Within a group of documents equal strings are merged first, so a
    passage that a third of all documents share leaves each task once.
@@ -12,7 +14,8 @@ a run. Equal windows have equal anchors, and the context that follows an anchor
 
 A context found in more than max(HOT_RUNS, 1e-5 of all runs) runs is hot: its windows travel one by one, to the
 bin of the whole window's hash, so that no bin holds all of them. There are at most 1e5 hot contexts, whatever
-the input, so their list can be broadcast. Bins and groups hold a fixed number of bytes; more input, more bins.
+the input, so their list can be broadcast. Bins and groups hold a fixed number of bytes; more input, more bins, and
+more tasks: every exchange is cut into as many as its bytes ask for.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import bins_for, keyed, materialise, mix64, rows_of, ship, text_bytes, words_at, word_hashes
+from .common import TASK_BYTES, bins_for, dealt, keyed, materialise, mix64, rows_of, ship, text_bytes, words_at, word_hashes
 
 HOT_RUNS = 20_000
 GROUP_BYTES = 2 << 20  # of text in a group of documents
 BIN_BYTES = 3 << 20  # of records in a bin
+SLICE = 8 << 20  # bytes of text whose contexts are counted before they travel
 SEGMENT = 1 << 20  # longer texts are cut for the search of anchors, with overlaps
 
 RUN = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("s", "<i8"), ("n", "<u2"), ("a", "<u2")])
@@ -134,40 +138,54 @@ class Exchange:
         self.n_runs = total / per_run
         self.bins = bins_for(int(self.n_runs * RUN.itemsize), BIN_BYTES)
         self.groups = bins_for(total, GROUP_BYTES)
+        self.doc_tasks = bins_for(total, TASK_BYTES)
         self.columns, self.text_col = docs.schema.fields if carry else [], text_col
         held = keyed(docs, id_col, text_col, [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(self.columns) if f.name != text_col])
         self.docs = held.withColumn("g", F.pmod("k1", F.lit(self.groups)))
+        self.by_group = dealt(self.docs, "g", self.doc_tasks)
 
     def candidates(self) -> tuple[DataFrame, list[int]]:
         """(table of g and packed runs whose context occurs more than once, hot contexts)."""
         w, bins, groups, hot_at = self.w, self.bins, self.groups, max(HOT_RUNS, int(self.n_runs * 1e-5))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, texts in rows_of(batches):
+            for part, texts in rows_of(batches, most=SLICE):
                 cut, text_of, place = _segments(texts, w)
                 text, s, n, a, h = w.runs(cut)
                 out = np.empty(len(text), RUN)
                 k1, k2 = (np.asarray(part.column(i)) for i in (0, 1))
                 out["h"], out["k1"], out["k2"], out["s"], out["n"], out["a"] = h, k1[text_of[text]], k2[text_of[text]], s + place[text], n, a
-                yield _batch(list(_blobs(h % np.uint64(bins), out)), ("bin", "runs"))
+                contexts, index, counts = np.unique(h, return_inverse=True, return_counts=True)
+                several = counts[index] > 1
+                known = out[several]
+                told = np.zeros(int((counts > 1).sum()), RUN)
+                told["h"], told["k1"], told["s"] = contexts[counts > 1], counts[counts > 1], -1
+                out = np.concatenate((out[~several], told))
+                rows = [(-1 - g, blob) for g, blob in _blobs(known["k1"] % groups, known)]
+                yield _batch(rows + list(_blobs(out["h"] % np.uint64(bins), out)), ("bin", "runs"))
 
         def meet(table: pa.Table) -> pa.Table:
-            runs = _joined(table.column("runs"), RUN)
-            _, index, counts = np.unique(runs["h"], return_inverse=True, return_counts=True)
-            stay = runs[counts[index] > 1]
-            hot = np.unique(runs["h"][counts[index] > hot_at])
-            rows = [*_blobs(stay["k1"] % groups, stay), *([(-1, hot.tobytes())] if len(hot) else [])]
+            runs, k = _joined(table.column("runs"), RUN), table.column("bin")[0].as_py()
+            if k < 0:
+                rows = [(-1 - k, runs.tobytes())]
+            else:
+                contexts, index = np.unique(runs["h"], return_inverse=True)
+                times = np.bincount(index, weights=np.where(runs["s"] < 0, runs["k1"], 1))
+                stay = runs[(times[index] > 1) & (runs["s"] >= 0)]
+                hot = contexts[times > hot_at]
+                rows = [*_blobs(stay["k1"] % groups, stay), *([(-1, hot.tobytes())] if len(hot) else [])]
             return pa.Table.from_batches([_batch(rows, ("g", "runs"))])
 
-        sent = self.docs.select("k1", "k2", "text").mapInArrow(send, "bin long, runs binary")
+        sent = dealt(self.docs.select("k1", "k2", "text").mapInArrow(send, "bin long, runs binary"), "bin", bins_for(int(self.n_runs * RUN.itemsize), TASK_BYTES))
         found = materialise(sent.groupBy("bin").applyInArrow(meet, "g long, runs binary"), "runs")
         hot = [int(x) for r in found.where("g = -1").select("runs").collect() for x in np.frombuffer(r[0], "<u8")]  # at most 1e5
         return found.where("g >= 0"), hot
 
-    def decided(self, decide: Callable, smaller: bool) -> DataFrame:
+    def decided(self, decide: Callable, smaller: bool, merge: bool) -> DataFrame:
         """(g, marks): packed MARK records, the first windows that `decide` gives.
 
         smaller: a window counts as repeated only where a smaller id has it; else wherever it occurs again.
+        merge: equal strings of several groups are one string to `decide`; else each comes as it was sent.
         """
         w, bins, groups = self.w, self.bins, self.groups
         found, hot = self.candidates()
@@ -232,7 +250,7 @@ class Exchange:
             blobs = table.column("sent").to_pylist()
             if k < 0:
                 return pa.Table.from_batches([_batch([(-1 - k, b"".join(blobs))], ("g", "marks"))])
-            records, ids, at = [], {}, 0
+            records, ids, strings, at = [], {}, [], 0
             for blob in blobs:
                 n, m = np.frombuffer(blob, "<u4", 2).tolist()
                 part = np.frombuffer(blob, SENT, n, 8).copy()
@@ -240,15 +258,24 @@ class Exchange:
                 at = 8 + part.nbytes + 4 * m
                 own = []
                 for size in lengths.tolist():
-                    own.append(ids.setdefault(blob[at : at + size], len(ids)))
+                    if merge:
+                        own.append(ids.setdefault(blob[at : at + size], len(ids)))
+                    else:
+                        own.append(len(strings))
+                        strings.append(blob[at : at + size])
                     at += size
                 part["sid"] = np.array(own, "<u4")[part["sid"]]
                 records.append(part)
-            marks = decide(np.concatenate(records), list(ids))
+            marks = decide(np.concatenate(records), list(ids) if merge else strings)
             return pa.Table.from_batches([_batch(list(_blobs(marks["k1"] % groups, marks)), ("g", "marks"))])
 
-        strings = self.docs.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(send, "bin long, sent binary")
-        return strings.groupBy("bin").applyInArrow(meet, "g long, marks binary")
+        runs = (found.agg(F.sum(F.octet_length("runs"))).first()[0] or 0) // RUN.itemsize
+        sent = dealt(self._with(found).applyInArrow(send, "bin long, sent binary"), "bin", bins_for(int(runs * (SENT.itemsize + (w.length + w.reach / 2) * (6 if w.words else 1))), TASK_BYTES))
+        return sent.groupBy("bin").applyInArrow(meet, "g long, marks binary")
+
+    def _with(self, packed: DataFrame):
+        """The documents' groups beside those of a table with a column g."""
+        return self.by_group.groupBy("g").cogroup(dealt(packed, "g", self.doc_tasks).groupBy("g"))
 
     def finish(self, marks: DataFrame, each: Callable, schema: str) -> DataFrame:
         """Per document each(doc_id, text bytes, first windows marked (sorted pairs of start and count)) as a row of schema."""
@@ -269,7 +296,7 @@ class Exchange:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-        return self.docs.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(run, schema)
+        return self._with(marks).applyInArrow(run, schema)
 
     def rewrite(self, marks: DataFrame, text_of: Callable) -> DataFrame:
         """The documents with all their columns (carry=True), the text replaced by text_of(text bytes, marked starts, counts); null texts stay."""
@@ -288,7 +315,7 @@ class Exchange:
                     texts[i] = text_of(texts[i].encode(), found["s"][a:b], found["n"][a:b])
             return docs.select([n for n in names if n != "text"]).append_column("text", pa.array(texts, pa.string())).select(names)
 
-        out = self.docs.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(run, schema)
+        out = self._with(marks).applyInArrow(run, schema)
         return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, self.columns, strict=True)])
 
 

@@ -87,6 +87,26 @@ def test_radix_groups():
     assert suffix_dedup.radix_groups(raw, at, np.arange(3), 3).tolist() == []
 
 
+def test_radix_groups_against_counting():
+    r = np.random.default_rng(4)
+    for length in (3, 8, 20):
+        raw = bytes(r.choice([97, 98], 400, p=[0.8, 0.2]).astype(np.uint8))
+        at, group, weight = r.integers(0, 400 - length, 150), r.integers(0, 3, 150) * 1000, r.integers(1, 3, 150) % 2 + 1
+        times = Counter()
+        for a, g, n in zip(at, group, weight):
+            times[g, raw[a : a + length]] += n
+        want = [i for i, (a, g) in enumerate(zip(at, group)) if times[g, raw[a : a + length]] > 1]
+        assert sorted(suffix_dedup.radix_groups(raw, at, group, length, weight).tolist()) == want
+    assert suffix_dedup.radix_groups(b"", np.zeros(0, np.int64), np.zeros(0, np.int64), 10).tolist() == []
+
+
+def test_small_slices_and_many_tasks(docs, rows_of_corpus, monkeypatch):
+    for name, v in (("SLICE", 2000), ("TASK_BYTES", 5000), ("GROUP_BYTES", 4000), ("BIN_BYTES", 4000)):
+        monkeypatch.setattr(windows, name, v)
+    assert got(suffix_dedup.repeated_bytes(docs)) == brute_bytes(rows_of_corpus, 200)
+    assert got(substring_dedup.repeated_words(docs)) == brute_words(rows_of_corpus, 50)
+
+
 def test_word_hashes():
     texts = [b"a  bb\tccc", b"", b" \n ", b"longer-than-eight longer-than-eighT", b"w" * 5000 + b" " + b"w" * 5001]
     h, n = word_hashes(texts)
