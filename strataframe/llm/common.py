@@ -64,7 +64,12 @@ def bins_for(total: int, each: int, least: int = 8) -> int:
     return max(least, math.ceil(total / each))
 
 
-TASK_BYTES = 8 << 20  # that a task reads from an exchange, about
+TASK_BYTES, LARGE_TASK, MANY_TASKS = 8 << 20, 128 << 20, 20_000
+
+
+def tasks_for(total: int) -> int:
+    """Tasks for an exchange of `total` bytes: TASK_BYTES each; from MANY_TASKS on, which cost the driver, up to LARGE_TASK each."""
+    return max(min(bins_for(total, TASK_BYTES), MANY_TASKS), bins_for(total, LARGE_TASK))
 
 
 def dealt(df: DataFrame, keys: str | list[str], n: int) -> DataFrame:

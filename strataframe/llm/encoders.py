@@ -1,9 +1,9 @@
-"""Tokenizer files of public vocabularies, applied fast and with the same ids as the tokenizers library.
+"""Tokenizer files of public vocabularies, applied by the tokenizers library with a cache of what it gave for each word.
 
-A text is cut at its spaces; pieces of different words never merge, so the ids of a word are looked up
-in a bounded cache and only unseen words meet the merge rules (run by tiktoken on the same vocabulary).
-A text with anything out of the ordinary goes to the tokenizers library itself, and each worker compares
-one text per batch with the library (`check`).
+No token reaches from a word into the whitespace that follows it: in both known shapes of file (see `_kind`) a run of
+whitespace belongs to the word after it or to the text's end. So a text is cut before its whitespace runs, the library
+encodes each different piece once, and the ids are put together. The cache is bounded. Texts with special tokens or
+rare spaces, and all texts under files of another shape, go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,25 +11,16 @@ from __future__ import annotations
 import functools
 import json
 import re
-import unicodedata
 from array import array
 
 import numpy as np
-import regex
-import tiktoken
 from tokenizers import Tokenizer
 
 CACHE_WORDS = 400_000
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_LEAN = "\x00"  # before a word that has no space before it
-_TAILED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
-
-
-def byte_chars() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 bytes stand for themselves, others for 256, 257, ..."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+CACHE_CHARS = 64  # longer pieces are encoded each time
+#: whitespace other than space, tab, line feed and carriage return
+_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
 def packed(ids) -> bytes:
@@ -37,16 +28,18 @@ def packed(ids) -> bytes:
 
 
 class _Cache(dict):
-    """word -> packed ids; emptied when full, so its memory is bounded."""
+    """piece -> packed ids; emptied when full, so its memory is bounded."""
 
-    def __init__(self, make):
+    def __init__(self, encode):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        v = self[key] = self.make(key)
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        v = self.encode(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[piece] = v
         return v
 
 
@@ -58,83 +51,27 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        stand, marker = byte_chars(), b"\xff"  # a byte that UTF-8 text never has marks a word's end
-        ranks = {}
-        for token, i in spec["model"]["vocab"].items():
-            if token in self.special:
-                continue
-            end = bool(self.suffix) and token.endswith(self.suffix)
-            ranks[bytes(stand[c] for c in (token[: -len(self.suffix)] if end else token)) + marker * end] = i
-        self.fast = self._kind(spec)
-        if self.fast:
-            self.pattern = regex.compile(
-                spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.fast == "word"
-                else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            )
-            self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-            self.words, self.plain, self.seen = _Cache(self._word), _Cache(self._plain), set()
+        self.kind, self.known = self._kind(spec), _Cache(self.by_library)
 
     def _kind(self, spec) -> str:
-        """Which of the two known shapes the file has; any other is left to the library."""
-        if spec.get("post_processor") or spec.get("truncation") or spec["model"]["type"] != "BPE" or spec["model"].get("ignore_merges"):
+        """Which of the two known shapes the file has: byte (whitespace counts) or word (it only separates); any other is left to the library."""
+        if spec.get("post_processor") or spec.get("truncation") or spec["model"]["type"] != "BPE":
             return ""
         pre, norm = spec["pre_tokenizer"], spec["normalizer"]
-        if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and norm is None and not self.suffix:
+        if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and norm is None:
             return "byte"
         kinds = [x["type"] for x in norm["normalizers"]] if norm and norm["type"] == "Sequence" else []
         if kinds == ["NFC", "Replace", "Lowercase"] and pre["type"] == "Sequence" and [x["type"] for x in pre["pretokenizers"]] == ["Split", "ByteLevel"]:
             return "word"
         return ""
 
-    def _plain(self, piece: str) -> bytes:
-        raw = piece.encode()
-        return packed(self.core.encode_single_piece(raw + b"\xff" if self.suffix else raw))
-
-    def _word(self, word: str) -> bytes:
-        """byte: a word with the space before it, unless marked lean; word: a word between spaces."""
-        lead = " " if self.fast == "byte" else ""
-        if lead and word[:1] == _LEAN:
-            lead, word = "", word[1:]
-        elif word == "\n":
-            return self.plain[word]
-        if word.isalpha():
-            return self._plain(lead + word)
-        if (m := _TAILED.fullmatch(word)) and m[1].isalpha():
-            return (self.words[m[1]] if lead or self.suffix else self.words[_LEAN + m[1]]) + self.plain[m[2]]
-        return b"".join(self.plain[x] for x in self.pattern.findall(lead + word))
-
-    def _known(self, text: str) -> bool:
-        """Whether all characters are assigned; libraries of different Unicode versions differ on the others."""
-        if not self.seen.issuperset(text):
-            new = set(text) - self.seen
-            if any(unicodedata.category(c) == "Cn" for c in new):
-                return False
-            self.seen |= new
-        return True
-
     def by_library(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.fast or any(x in text for x in self.special) or _RARE_SPACE.search(text) or not (text.isascii() or self._known(text)):
+        if not self.kind or any(x in text for x in self.special) or _RARE_SPACE.search(text):
             return self.by_library(text)
-        if self.fast == "word":
-            if not text.isascii():
-                if "Σ" in text:
-                    return self.by_library(text)
-                text = unicodedata.normalize("NFC", text)
-            return b"".join(map(self.words.__getitem__, text.lower().split()))
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _LEAN in text or text[0].isspace() or text[-1].isspace():
-            return b"".join(map(self.plain.__getitem__, self.pattern.findall(text)))
-        return b"".join(map(self.words.__getitem__, (_LEAN + text.replace("\n", " \n " + _LEAN)).split(" ")))
-
-    def check(self, text: str) -> None:
-        """Raise if the fast path and the library differ on this text."""
-        if self.encode(text) != self.by_library(text):
-            raise ValueError("the fast encoder and the tokenizers library give different ids")
+        return b"".join(map(self.known.__getitem__, text.split() if self.kind == "word" else _PIECE.findall(text)))
 
 
 @functools.lru_cache(maxsize=4)

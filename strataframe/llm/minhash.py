@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TASK_BYTES, bins_for, dealt, materialise, mix64, rows_of, ship, word_hashes
+from .common import bins_for, dealt, materialise, mix64, rows_of, ship, tasks_for, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -310,11 +310,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select("row_key", "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"))
     # the texts of all documents, by key, meet the members: the same join at every size
-    tasks = bins_for(8 * (held.agg(F.sum("n")).first()[0] or 0), TASK_BYTES)
+    tasks = tasks_for(8 * (held.agg(F.sum("n")).first()[0] or 0))
     texts = dealt(rows.where("text is not null"), "row_key", tasks).hint("merge").join(dealt(placed, "row_key", tasks), "row_key").select("node", "cluster", "blocks", "part", "text")
     texts = materialise(texts.mapInArrow(_once, texts.schema), "members")
 
-    tasks = bins_for(8 * (members.agg(F.sum("n")).first()[0] or 0), TASK_BYTES)
+    tasks = tasks_for(8 * (members.agg(F.sum("n")).first()[0] or 0))
     found = _whole(texts.where("blocks = 1"), tasks, percent)
     large = texts.where("blocks > 1")
     if not large.isEmpty():

@@ -39,7 +39,6 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = 0
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             texts = batch.column(1).to_pylist()
-            enc.check(next((t for t in texts if t), "")[:20_000])
             for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 raw = enc.encode(text or "") + tail
                 n = len(raw) // 4

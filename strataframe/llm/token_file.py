@@ -5,8 +5,9 @@ bitmap (bit set: the id goes on at level j + 1) and a rank directory (set bits b
 Token i is found by following ranks from level to level: no block is decoded, any token can be read alone.
 
 Shards hold whole documents and follow each other in ascending id order: the documents are dealt by range,
-each partition writes one shard under a final name that depends on the partition alone (a rerun task
-replaces it with the same bytes), and a shard's place in the whole token stream is the sum of those before.
+each partition writes its shards under final names that depend on the partition alone (a rerun task replaces them
+with the same bytes). A shard's place in the whole token stream is the sum of those before, made in two levels over
+the manifest, a table; nothing that grows passes the driver.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bins_for, shared_dir, ship, text_bytes
+from .common import MANY_TASKS, bins_for, materialise, shared_dir, ship, text_bytes
 from .encoders import encoder, ids_of
 
 MAGIC = b"SFDAC001"
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 SHARD_BYTES = 12 << 20  # of text a shard
+SHARDS_OF_PART = 1 << 20  # numbers for the shards of a range partition
+PARTS_OF_SUM = 4096  # range partitions whose tokens are summed first
 
 
 def dac_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,37 +132,46 @@ def read_shard(uri: str) -> DacShard:
 def write_token_file(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", each: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, append end_id, write the shards; return their manifest (shard, path, docs, tokens, start).
 
-    Null texts encode as empty, null ids come first; repeated ids stay separate documents; an empty table
-    writes no shard. Columns of other names are not read. The manifest has one row per shard of about
-    `each` bytes of text, with start the tokens of all shards before it.
+    Null texts encode as empty, null ids come first; repeated ids stay separate documents, in the order of a hash of
+    their text, which also lets the range partitions split them; an empty table writes no shard. Columns of other
+    names are not read. The manifest has one row per shard of about `each` bytes of text, with start the tokens of all
+    shards before it. A task holds one shard at a time (or one document, if that is longer).
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or shared_dir(spark, "tokens")
     _, total = text_bytes(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(bins_for(total, each), "doc_id").sortWithinPartitions("doc_id")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.repartitionByRange(bins_for(total, each), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ids, lengths, parts, tail = encoder(vocabulary), [], [], [], np.array([end_id], "<u4").tobytes()
+        enc, tail, k, made = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        ids, parts, size = [], [], 0
+
+        def put() -> pa.RecordBatch:
+            lengths = [len(p) // 4 for p in parts]
+            _put(uri := f"{folder}/shard-{k:08d}-{made:06d}.dac", shard_bytes(ids, lengths, ids_of(b"".join(parts))))
+            return pa.RecordBatch.from_pydict({"shard": [k * SHARDS_OF_PART + made], "path": [uri], "docs": [len(ids)], "tokens": [sum(lengths)]}, schema=schema)
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            enc.check(next((t for t in texts if t), "")[:20_000])
-            ids += batch.column(0).to_pylist()
-            for t in texts:
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ids and size > 2 * each:  # a range that sampling made too large
+                    yield put()
+                    made, ids, parts, size = made + 1, [], [], 0
+                ids.append(doc)
                 parts.append(enc.encode(t or "") + tail)
-                lengths.append(len(parts[-1]) // 4)
-            parts = [b"".join(parts)]
+                size += len(t or "")
         if ids:
-            k = TaskContext.get().partitionId()
-            _put(uri := f"{folder}/shard-{k:08d}.dac", shard_bytes(ids, lengths, ids_of(parts[0])))
-            yield pa.RecordBatch.from_pydict({"shard": [k], "path": [uri], "docs": [len(ids)], "tokens": [sum(lengths)]}, schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            yield put()
 
-    found = sorted(rows.mapInArrow(write, "shard long, path string, docs long, tokens long").collect())  # one short row a shard
-    start, out = 0, []
-    for r in found:
-        out.append((r["shard"], r["path"], r["docs"], r["tokens"], start))
-        start += r["tokens"]
-    return spark.createDataFrame(out, "shard long, path string, docs long, tokens long, start long")
+    found = materialise(rows.mapInArrow(write, "shard long, path string, docs long, tokens long"), "manifest")
+    found = found.withColumn("part", F.floor(F.col("shard") / (SHARDS_OF_PART * PARTS_OF_SUM)))
+    sums = found.groupBy("part").agg(F.sum("tokens").alias("sum"))  # a row for PARTS_OF_SUM partitions
+    before = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("before"))
+    own = F.sum("tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("tokens")
+    return found.withColumn("own", own).join(before, "part").select("shard", "path", "docs", "tokens", (F.col("before") + F.col("own")).alias("start"))
 
 
 def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -173,5 +186,5 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(shard.tokens(a, b).astype("<u4").tobytes()) for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids.astype(np.int64), mask=shard.doc_null.astype(bool)), pa.array(s[:-1] + base), pa.array(np.diff(s)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = manifest.count()
+    n = min(manifest.count(), MANY_TASKS)
     return manifest.select("path", "start").repartition(max(1, n)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import TASK_BYTES, bins_for, dealt, keyed, materialise, mix64, rows_of, ship, text_bytes, words_at, word_hashes
+from .common import bins_for, dealt, keyed, materialise, mix64, rows_of, ship, tasks_for, text_bytes, words_at, word_hashes
 
 HOT_RUNS = 20_000
 GROUP_BYTES = 2 << 20  # of text in a group of documents
@@ -138,7 +138,7 @@ class Exchange:
         self.n_runs = total / per_run
         self.bins = bins_for(int(self.n_runs * RUN.itemsize), BIN_BYTES)
         self.groups = bins_for(total, GROUP_BYTES)
-        self.doc_tasks = bins_for(total, TASK_BYTES)
+        self.doc_tasks = tasks_for(total)
         self.columns, self.text_col = docs.schema.fields if carry else [], text_col
         held = keyed(docs, id_col, text_col, [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(self.columns) if f.name != text_col])
         self.docs = held.withColumn("g", F.pmod("k1", F.lit(self.groups)))
@@ -176,7 +176,7 @@ class Exchange:
                 rows = [*_blobs(stay["k1"] % groups, stay), *([(-1, hot.tobytes())] if len(hot) else [])]
             return pa.Table.from_batches([_batch(rows, ("g", "runs"))])
 
-        sent = dealt(self.docs.select("k1", "k2", "text").mapInArrow(send, "bin long, runs binary"), "bin", bins_for(int(self.n_runs * RUN.itemsize), TASK_BYTES))
+        sent = dealt(self.docs.select("k1", "k2", "text").mapInArrow(send, "bin long, runs binary"), "bin", tasks_for(int(self.n_runs * RUN.itemsize)))
         found = materialise(sent.groupBy("bin").applyInArrow(meet, "g long, runs binary"), "runs")
         hot = [int(x) for r in found.where("g = -1").select("runs").collect() for x in np.frombuffer(r[0], "<u8")]  # at most 1e5
         return found.where("g >= 0"), hot
@@ -270,7 +270,7 @@ class Exchange:
             return pa.Table.from_batches([_batch(list(_blobs(marks["k1"] % groups, marks)), ("g", "marks"))])
 
         runs = (found.agg(F.sum(F.octet_length("runs"))).first()[0] or 0) // RUN.itemsize
-        sent = dealt(self._with(found).applyInArrow(send, "bin long, sent binary"), "bin", bins_for(int(runs * (SENT.itemsize + (w.length + w.reach / 2) * (6 if w.words else 1))), TASK_BYTES))
+        sent = dealt(self._with(found).applyInArrow(send, "bin long, sent binary"), "bin", tasks_for(int(runs * (SENT.itemsize + (w.length + w.reach / 2) * (6 if w.words else 1)))))
         return sent.groupBy("bin").applyInArrow(meet, "g long, marks binary")
 
     def _with(self, packed: DataFrame):

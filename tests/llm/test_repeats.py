@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from strataframe.llm import substring_dedup, suffix_dedup, windows
+from strataframe.llm import common, substring_dedup, suffix_dedup, windows
 from strataframe.llm.common import word_hashes
 
 
@@ -101,7 +101,8 @@ def test_radix_groups_against_counting():
 
 
 def test_small_slices_and_many_tasks(docs, rows_of_corpus, monkeypatch):
-    for name, v in (("SLICE", 2000), ("TASK_BYTES", 5000), ("GROUP_BYTES", 4000), ("BIN_BYTES", 4000)):
+    monkeypatch.setattr(common, "TASK_BYTES", 5000)
+    for name, v in (("SLICE", 2000), ("GROUP_BYTES", 4000), ("BIN_BYTES", 4000)):
         monkeypatch.setattr(windows, name, v)
     assert got(suffix_dedup.repeated_bytes(docs)) == brute_bytes(rows_of_corpus, 200)
     assert got(substring_dedup.repeated_words(docs)) == brute_words(rows_of_corpus, 50)

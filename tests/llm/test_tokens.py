@@ -32,6 +32,26 @@ def test_encoder_on_any_text(text):
         assert e.encode(text) == e.by_library(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\t\r\x0b\xa0\u2003\x00aBé'sΣ1½.,-\u0301<|endoftext|>日", max_size=30))
+def test_encoder_on_spaces(text):
+    import public_tokenizers
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = encoder(str(public_tokenizers.path(name)))
+        assert e.encode(text) == e.by_library(text)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_cache_is_bounded(vocab, name, monkeypatch):
+    from strataframe.llm import encoders
+
+    monkeypatch.setattr(encoders, "CACHE_WORDS", 5)
+    e = encoders.Encoder(vocab(name))
+    for t in ["a b c d e f g h i j k", "x" * 1000, "a b c"]:
+        assert e.encode(t) == e.by_library(t) and len(e.known) <= 5 and "x" * 1000 not in e.known
+
+
 def ids_of(vocab, name, text, end):
     return np.array([*Tokenizer.from_file(vocab(name)).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
@@ -103,6 +123,23 @@ def test_token_file(spark, docs, rows_of_corpus, vocab, tmp_path):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == want
 
 
+def test_one_id_fills_many_shards(spark, vocab, tmp_path, monkeypatch):
+    """Null and equal ids, more than a shard holds: still a gapless stream in id order, in shards of bounded size."""
+    monkeypatch.setattr(token_file, "PARTS_OF_SUM", 2)
+    rows = [(None, f"null {i} " * 20) for i in range(200)] + [(5, "same " * 100)] * 300 + [(7, None), (6, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    m = token_file.write_token_file(docs, vocab("word_bpe_49k.json"), f"file://{tmp_path}/t", each=4000)
+    held = m.orderBy("shard").collect()
+    assert len(held) > 20 and sum(r["docs"] for r in held) == len(rows) and max(r["docs"] for r in held) < 60
+    at = 0
+    for r in held:
+        assert r["start"] == at
+        at += r["tokens"]
+    out = token_file.read_documents(spark, m).orderBy("start").collect()
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in out]
+    assert order == sorted(order) and len(out) == len(rows) and out[-1]["start"] + out[-1]["n_tokens"] == at
+
+
 def test_random_access():
     r = np.random.default_rng(2)
     ids = r.integers(0, 2 ** r.integers(1, 32, 3000), dtype=np.uint64).astype(np.uint32)
