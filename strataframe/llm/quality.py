@@ -3,9 +3,8 @@
 A document is cut into overlapping chunks of CHUNK bytes that cover all of it. In each chunk learned filters of
 8 bytes, 4 apart, read byte embeddings; their responses are max-pooled over the chunk, pass a small dense layer
 together with the chunk's size (a short text has fewer chances of a high maximum), and the chunk outputs are
-averaged into one logit. The network is fitted on a bounded sample of labelled rows
-(`fit_rows` a class, taken in hash order of the id, and up to FIT_CHUNKS evenly spaced chunks of each) and scores
-whole texts.
+averaged into one logit. The network is fitted on a bounded sample of labelled rows (`fit_rows` a class, taken in hash
+order of the id), on all chunks of each, and scores whole texts.
 """
 
 from __future__ import annotations
@@ -23,16 +22,16 @@ CHUNK, STEP = 512, 384
 GROUP = 4  # bytes between filter positions; a filter reads two groups
 DIM, FILTERS, HIDDEN = 8, 48, 24
 PAD = 256
-FIT_ROWS, FIT_CHUNKS, EPOCHS, BATCH, RATE = 3000, 4, 14, 64, 4e-3
+FIT_ROWS, EPOCHS, BATCH, RATE = 3000, 14, 64, 4e-3
+SOME = 256  # chunks at once
 THRESHOLD = 0.7
 
 
-def cut(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """([chunks, CHUNK] byte codes padded with PAD, text of each chunk); every byte of a text is in a chunk, an empty text has one of padding."""
     starts, sizes, owner, base = [], [], [], 0
     for i, t in enumerate(texts):
-        n = max(1, -(-(len(t) - (CHUNK - STEP)) // STEP))
-        ks = np.arange(n) if most is None or n <= most else np.unique(np.linspace(0, n - 1, most).round().astype(np.int64))
+        ks = np.arange(max(1, -(-(len(t) - (CHUNK - STEP)) // STEP)))
         starts.append(base + ks * STEP)
         sizes.append(np.minimum(len(t) - ks * STEP, CHUNK))
         owner.append(np.full(len(ks), i))
@@ -58,15 +57,15 @@ class Network:
         }
         self.p["bytes"][PAD] = 0
 
-    def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(max response of each filter in each chunk, its place, the embedded groups)."""
+    def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(max response of each filter in each chunk, its place)."""
         p, n = self.p, len(codes)
         x = p["bytes"][codes].reshape(n, CHUNK // GROUP, GROUP * DIM)
         y = (x.reshape(-1, GROUP * DIM) @ np.hstack((p["left"], p["right"]))).reshape(n, CHUNK // GROUP, 2 * FILTERS)
         y = y[:, :-1, :FILTERS] + y[:, 1:, FILTERS:]
         y[:, 1:][codes[:, GROUP :: GROUP][:, : y.shape[1] - 1] == PAD] = -1e9  # places past the text; the first always counts
         at = y.argmax(axis=1)
-        return np.take_along_axis(y, at[:, None], 1)[:, 0], at, x
+        return np.take_along_axis(y, at[:, None], 1)[:, 0], at
 
     def hidden(self, best: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.log1p((codes != PAD).sum(axis=1)) / np.float32(np.log1p(CHUNK))
@@ -75,49 +74,61 @@ class Network:
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         codes, owner = cut(texts)
-        parts = [self.hidden(self.pooled(codes[a : a + 256])[0], codes[a : a + 256])[1] @ self.p["out"] for a in range(0, len(codes), 256)]
+        parts = [self.hidden(self.pooled(codes[a : a + SOME])[0], codes[a : a + SOME])[1] @ self.p["out"] for a in range(0, len(codes), SOME)]
         out = np.concatenate(parts) if parts else np.zeros(0, np.float32)
         return np.bincount(owner, weights=out, minlength=len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1) + float(self.p["prior"][0])
 
     def gradients(self, codes: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        best, at, x = self.pooled(codes)
-        a, h = self.hidden(best, codes)
+        """Of the mean logistic loss over the documents; SOME chunks at a time, whatever the documents' lengths."""
+        p, held = self.p, []
+        for a in range(0, len(codes), SOME):
+            best, at = self.pooled(codes[a : a + SOME])
+            held.append((at, *self.hidden(best, codes[a : a + SOME])))
         weight = 1 / np.bincount(owner)[owner]
-        z = np.bincount(owner, weights=(h @ p["out"]) * weight, minlength=len(y)) + p["prior"][0]
+        z = np.bincount(owner, weights=np.concatenate([h @ p["out"] for _, _, h in held]) * weight, minlength=len(y)) + p["prior"][0]
         d = (1 / (1 + np.exp(-z)) - y) / len(y)
-        dz = (d[owner] * weight).astype(np.float32)
-        dh = dz[:, None] * p["out"] * (h > 0)
-        da = (dh @ p["dense"].T * (a > 0))[:, :FILTERS]
-        i = np.arange(len(codes))[:, None]
-        left, right = x[i, at], x[i, at + 1]
-        g = {"out": h.T @ dz, "prior": np.array([d.sum()], np.float32), "dense": a.T @ dh, "shift": dh.sum(0), "bias": da.sum(0)}
-        g["left"], g["right"] = np.einsum("bf,bfk->kf", da, left), np.einsum("bf,bfk->kf", da, right)
-        near = codes[i[:, :, None], (at * GROUP)[:, :, None] + np.arange(2 * GROUP)]
-        push = (da[:, :, None] * np.vstack((p["left"], p["right"])).T).reshape(-1, DIM)
-        g["bytes"] = np.stack([np.bincount(near.ravel(), weights=push[:, k], minlength=PAD + 1) for k in range(DIM)], 1).astype(np.float32)
-        g["bytes"][PAD] = 0
-        return g
-
-    def fit(self, codes: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-        """Adam on the logistic loss, documents (runs of chunks with one owner) in random order."""
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(y)))))
+        total = {k: np.zeros_like(v) for k, v in p.items()}
+        total["prior"] += d.sum()
+        both = np.vstack((p["left"], p["right"])).T
+        for k, (at, a, h) in enumerate(held):
+            mine = slice(k * SOME, k * SOME + len(at))
+            dz = (d[owner[mine]] * weight[mine]).astype(np.float32)
+            dh = dz[:, None] * p["out"] * (h > 0)
+            da = (dh @ p["dense"].T * (a > 0))[:, :FILTERS]
+            near = codes[mine][np.arange(len(at))[:, None, None], (at * GROUP)[:, :, None] + np.arange(2 * GROUP)]
+            seen = p["bytes"][near].reshape(len(at), FILTERS, 2, GROUP * DIM)
+            total["out"] += h.T @ dz
+            total["dense"] += a.T @ dh
+            total["shift"] += dh.sum(0)
+            total["bias"] += da.sum(0)
+            total["left"] += np.einsum("bf,bfk->kf", da, seen[:, :, 0])
+            total["right"] += np.einsum("bf,bfk->kf", da, seen[:, :, 1])
+            push = (da[:, :, None] * both).reshape(-1, DIM)
+            total["bytes"] += np.stack([np.bincount(near.ravel(), weights=push[:, j], minlength=PAD + 1) for j in range(DIM)], 1).astype(total["bytes"].dtype)
+        total["bytes"][PAD] = 0
+        return total
+
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+        """Adam on the logistic loss, all chunks of BATCH documents at a time, documents in random order."""
         r, m, v, t = np.random.default_rng(seed), {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         steps = epochs * -(-len(y) // BATCH)
         for _ in range(epochs):
             order = r.permutation(len(y))
             for k in range(0, len(order), BATCH):
                 docs = order[k : k + BATCH]
-                rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in docs])
-                own = np.repeat(np.arange(len(docs)), bounds[docs + 1] - bounds[docs])
                 t += 1
                 rate = RATE * min(1, t / 30) * (1 - t / (steps + 1))
-                for name, g in self.gradients(codes[rows], own, y[docs]).items():
+                for name, g in self.gradients(*cut([texts[i] for i in docs.tolist()]), y[docs]).items():
                     m[name] += 0.1 * (g - m[name])
                     v[name] += 0.001 * (g * g - v[name])
                     self.p[name] -= rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
         return self
 
+    def constant(self, logit: float) -> Network:
+        """The network that gives every text one logit."""
+        self.p["out"][:], self.p["prior"][:] = 0, logit
+        return self
+
 
 def held_out(column: str, parts: int, part: int):
     """Whether crc32 of the id as text leaves `part`; null ids count as the text ''."""
@@ -127,39 +138,34 @@ def held_out(column: str, parts: int, part: int):
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network fitted on at most fit_rows labelled rows of each class outside the held-out part.
 
-    Rows whose label is null or not 0 or 1, or whose id is null, are not learned from. With one class or none the
-    network is constant: the class's rate, or 0.5.
+    Rows whose label is null or not 0 or 1, or whose id is null, are not learned from; an id with both labels counts as
+    1. All chunks of the fitted texts are learned from; null texts are empty. Where the labels, or the documents found
+    for them, are of one class, every score is 0.982 or 0.018, by that class; without any, 0.5.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id", parts, part))
     rates = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    net = Network()
-    if len(rates) < 2:
-        net.p["out"][:] = 0
-        net.p["prior"][:] = 0.0 if not rates else 4.0 * (2 * next(iter(rates)) - 1)
-        return net
+    if not rates:
+        return Network().constant(0.0)
     some = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(fit_rows) for k in (0, 1)]
     some = some[0].unionByName(some[1]).groupBy("id").agg(F.max("y").alias("y"))  # at most 2 * fit_rows rows
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, owner = cut([(t or "").encode() for t in batch.column(2).to_pylist()], FIT_CHUNKS)
-            raw = [[] for _ in range(batch.num_rows)]
-            for own, c in zip(owner.tolist(), codes, strict=True):
-                raw[own].append(c[c != PAD].astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.list_(pa.binary()))], names=["id", "y", "chunks"])
-
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((r["id"], r["y"], r["chunks"]) for batch in batches for r in batch.to_pylist())
+        got = sorted((i, y, (t or "").encode()) for batch in batches for i, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if not got:
+            return
         y = np.array([g[1] for g in got], np.float64)
         if 0 < y.sum() < len(y):
-            own = Network().fit(cut([c for g in got for c in g[2]], 1)[0], np.repeat(np.arange(len(got)), [len(g[2]) for g in got]), y)
+            own = Network().fit([g[2] for g in got], y)
             own.p["prior"] += np.float32(np.log(rates[1] / rates[0]) - np.log(y.sum() / (len(y) - y.sum())))
-            yield pa.RecordBatch.from_pydict({"name": list(own.p), "shape": [list(v.shape) for v in own.p.values()], "raw": [v.astype("<f4").tobytes() for v in own.p.values()]}, schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("raw", pa.binary())]))
+        else:
+            own = Network().constant(8.0 * y[0] - 4)
+        yield pa.RecordBatch.from_pydict({"name": list(own.p), "shape": [list(v.shape) for v in own.p.values()], "raw": [v.astype("<f4").tobytes() for v in own.p.values()]}, schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("raw", pa.binary())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("id", "y", "text")
-    sampled = rows.mapInArrow(chunks, "id long, y int, chunks array<binary>")  # FIT_CHUNKS * CHUNK bytes a row at most
-    for r in sampled.repartition(1).mapInArrow(train, "name string, shape array<long>, raw binary").collect():  # fitted in one task of an executor
+    made = rows.repartition(1).mapInArrow(train, "name string, shape array<long>, raw binary").collect()  # fitted in one task of an executor
+    net = Network().constant(0.0)
+    for r in made:
         net.p[r["name"]] = np.frombuffer(bytes(r["raw"]), "<f4").reshape(r["shape"]).copy()
     return net
 
