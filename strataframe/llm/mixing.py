@@ -1,16 +1,17 @@
 """Operator 2: mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Documents are summed to cells of (source, language, topic). Each round rakes the cells' weights to the three
-target marginals in turn: a group-by gives a marginal's present tokens, a join brings the factor back to the cells.
-Cells, not documents, are iterated over; every few rounds they become a table in the shared folder. A document is then
-kept with its cell's probability, by a number drawn from the hash of its id, so every rerun keeps the same ones.
+Documents are summed to cells of (source, language, topic). A cell's weight is a product of three factors, one for each
+value. Each round rakes the weights to the three target marginals in turn: the cells meet the factors of the two other
+dimensions, a group-by (summed before it shuffles) gives a marginal's tokens without the own factor, and target over
+that is the new factor. Cells are summed once and never rewritten; a step writes its factors, a row a value, to a table
+in the shared folder; `largest_gap` tells how near the targets are. A document is then kept with its cell's
+probability, by a number drawn from the hash of its id, so every rerun keeps the same ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise
 
@@ -18,7 +19,7 @@ ROUNDS = 12
 NONE = "<none>"  # stands for a null source, language or topic
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.8}
 DIGITS = 6
-ONE_TASK = 50_000  # up to so many cells, rounds are windows within one task; beyond, group-bys and joins: the same sums
+MADE = {"mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_kept"}
 
 
 def topic_of(text: Column) -> Column:
@@ -41,35 +42,42 @@ def tempered(cells: DataFrame, column: str, power: float) -> DataFrame:
     return sums.join(F.broadcast(whole)).select(F.col(column), (F.pow("s", F.lit(power)) / F.col("whole")).alias("target"))
 
 
+def _weighed(cells: DataFrame, factors: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+    """(cells beside the factors of some dimensions, the factors' product)."""
+    weight = F.lit(1.0)
+    for d, f in factors.items():
+        cells = cells.join(f.select(d, F.col("factor").alias(f"of_{d}")), d, "left")
+        weight = weight * F.coalesce(f"of_{d}", F.lit(1.0))
+    return cells, weight
+
+
 def calibrate(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """cells (dimension columns, tokens) with weight: after `rounds` rounds of raking the weighted tokens follow the targets (column, target).
 
-    Values without a target or without tokens keep their weight.
+    Values without a target or without tokens keep a factor of 1.
     """
     dims = list(targets)
-    out = materialise(cells.select(*dims, "tokens", F.lit(1.0).alias("weight")), "cells")
-    size = out.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("total")).first()
-    whole = float(size["total"] or 0)
-    total = F.lit(whole)
-    held = {d: materialise(t, f"target-{d}") for d, t in targets.items()}
-    if size["n"] <= ONE_TASK:
-        out = out.coalesce(1)
-        for d in dims:  # a target per cell; the targets have no more rows than there are cells with tokens, or were given
-            out = out.join(held[d].select(d, F.col("target").alias(f"to_{d}")).hint("broadcast" if held[d].count() <= ONE_TASK else "merge"), d, "left")
-        columns = ", ".join([*dims, "tokens", *(f"to_{d}" for d in dims)])
-        for r in range(0, rounds, 4):  # a few rounds a plan
-            step = "{cells}"
-            for d in dims * min(4, rounds - r):
-                step = f"(SELECT {columns}, weight, sum(weight * tokens) OVER (PARTITION BY {d}) AS now FROM {step})"
-                step = f"(SELECT {columns}, CASE WHEN now > 0 AND to_{d} IS NOT NULL THEN weight * (to_{d} * CAST('{whole!r}' AS DOUBLE) / now) ELSE weight END AS weight FROM {step})"
-            out = materialise(out.sparkSession.sql(f"SELECT * FROM {step}", cells=out), "cells").coalesce(1)
-        return out.select(*dims, "tokens", "weight")
+    cells = materialise(cells.select(*dims, "tokens"), "cells")
+    whole = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
+    goals = {d: materialise(t.select(d, (F.col("target") * whole).alias("goal")), f"target-{d}") for d, t in targets.items()}
+    factors: dict[str, DataFrame] = {}
     for _ in range(rounds):
         for d in dims:
-            now = out.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"))
-            factor = now.join(held[d], d).where("now > 0").select(d, (F.col("target") * total / F.col("now")).alias("factor"))
-            out = out.join(factor, d, "left").select(*dims, "tokens", (F.col("weight") * F.coalesce("factor", F.lit(1.0))).alias("weight"))
-        out = materialise(out, "cells")
+            held, weight = _weighed(cells, {x: f for x, f in factors.items() if x != d})
+            sums = held.groupBy(d).agg(F.sum(F.col("tokens") * weight).alias("sum")).where("sum > 0")
+            factors[d] = materialise(sums.join(goals[d], d).select(d, (F.col("goal") / F.col("sum")).alias("factor")), "factors")
+    held, weight = _weighed(cells, factors)
+    return held.select(*dims, "tokens", weight.alias("weight"))
+
+
+def largest_gap(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dim, gap): how far the weighted shares of calibrated cells are from the targets of each dimension, at most."""
+    whole = cells.agg(F.sum(F.col("weight") * F.col("tokens")).alias("whole"))  # one row
+    out = None
+    for d, t in targets.items():
+        share = cells.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now")).join(F.broadcast(whole))
+        part = share.join(t, d).agg(F.lit(d).alias("dim"), F.max(F.abs(F.col("now") / F.col("whole") - F.col("target"))).alias("gap"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -79,7 +87,7 @@ def draw(doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, temper: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
-    """Per document: all columns of docs, and mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
+    """Per document: all columns of docs, and mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept (which replace columns of these names).
 
     Targets per dimension (source, lang, topic) are given as (dimension, target) tables or made by tempering the
     present shares. weight is the cell's, relative to a mean of 1 over tokens; probability is weight over the
@@ -88,19 +96,19 @@ def mix(docs: DataFrame, temper: dict[str, float] | None = None, targets: dict[s
     share a draw; no rows give no rows.
     """
     temper = temper or TEMPER
-    taken = {"mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_kept", "mix_source", "mix_lang"}
-    names = [c for c in docs.columns if c not in taken]
+    names = [c for c in docs.columns if c not in MADE]
     text = F.col(text_col).cast("string")
-    part = {"mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)), "mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)), "mix_topic": F.coalesce(topic_of(text) if topic is None else topic, F.lit(NONE))}
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], *[v.alias(k) for k, v in part.items()], words_of(text).alias("mix_tokens"))
-    cells = materialise(rows.groupBy(*[F.col(k).alias(k[4:]) for k in part]).agg(F.sum("mix_tokens").alias("tokens")), "cells")
+    dims = {"source": F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)), "lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)), "topic": F.coalesce(topic_of(text) if topic is None else topic, F.lit(NONE))}
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *[v.alias(d) for d, v in dims.items()], words_of(text).alias("tokens"), draw(F.col(id_col)).alias("draw"))
+    cells = materialise(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     given = targets or {}
-    goals = {d: given[d] if d in given else tempered(cells, d, temper[d]) for d in ("source", "lang", "topic")}
+    goals = {d: given[d] if d in given else tempered(cells, d, temper[d]) for d in dims}
     fitted = calibrate(cells, goals, rounds)
     top = fitted.where("tokens > 0").agg(F.max("weight").alias("top"))  # one row
     chance = F.round(F.least(F.lit(1.0), F.col("weight") / F.coalesce("top", F.lit(1.0))), DIGITS)
-    fitted = materialise(fitted.join(F.broadcast(top), how="left").select(*[F.col(k[4:]).alias(k) for k in part], F.round("weight", DIGITS).alias("mix_weight"), chance.alias("mix_probability")), "fitted")
-    return rows.join(fitted, list(part)).select(*[F.col(f"`{c}`") for c in names], "mix_topic", "mix_tokens", "mix_weight", "mix_probability", (draw(F.col(id_col)) < F.col("mix_probability")).alias("mix_kept"))
+    fitted = materialise(fitted.join(F.broadcast(top), how="left").select(*dims, F.round("weight", DIGITS).alias("weight"), chance.alias("probability")), "fitted")
+    made = [F.col(x).alias(f"mix_{x}") for x in ("topic", "tokens", "weight", "probability")]
+    return rows.join(fitted, list(dims)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *made, (F.col("draw") < F.col("probability")).alias("mix_kept"))
 
 
 def mix_sql(rounds: int = ROUNDS, temper: dict[str, float] | None = None) -> str:

@@ -156,14 +156,12 @@ def test_letters_and_clashing_names(spark):
     assert all(out[i]["lang_pred"] == x for i, _, x in rows)
 
 
-@pytest.mark.parametrize("one_task", [50_000, 0])
-def test_mixing_follows_targets(spark, monkeypatch, one_task):
-    monkeypatch.setattr(mixing, "ONE_TASK", one_task)
+def test_mixing_follows_targets(spark):
     r = random.Random(2)
     rows = [(i, "w " * r.randrange(1, 60), r.choice(["de", "en", "en"]), r.choice(["s0", "s0", "s0", "s1", "s2"])) for i in range(3000)] + [(None, None, None, None), (3, "", None, "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as tokens", "2 as weight", "'z' as topic")
     goal = lambda c, **t: spark.createDataFrame(list(t.items()), f"{c} string, target double")
-    out = mixing.mix(docs, targets={"source": goal("source", s0=0.2, s1=0.3, s2=0.5), "lang": goal("lang", de=0.5, en=0.5)}, rounds=25 if one_task else 12)
+    out = mixing.mix(docs, targets={"source": goal("source", s0=0.2, s1=0.3, s2=0.5), "lang": goal("lang", de=0.5, en=0.5)}, rounds=12)
     assert out.columns[: len(docs.columns)] == docs.columns
     got = out.selectExpr("source", "lang", "mix_tokens * mix_probability as t", "mix_tokens * int(mix_kept) as k").toPandas()
     share = got.groupby("source").t.sum() / got.t.sum()
@@ -173,6 +171,36 @@ def test_mixing_follows_targets(spark, monkeypatch, one_task):
     assert out.count() == len(rows) and mixing.mix(docs.where("false")).count() == 0
 
 
+def test_calibrated_cells_equal_plain_raking(spark):
+    r = random.Random(21)
+    cells = [(f"s{i}", f"l{j}", r.randrange(0, 400) * (r.random() < 0.7)) for i in range(6) for j in range(4)]
+    goals = {"source": {f"s{i}": 1 / 5 for i in range(5)}, "lang": {f"l{j}": (j + 1) / 10 for j in range(4)}}
+    weight, whole = {c[:2]: 1.0 for c in cells}, sum(c[2] for c in cells)
+    for _ in range(9):
+        for k, d in enumerate(goals):
+            now = {}
+            for c in cells:
+                now[c[k]] = now.get(c[k], 0) + weight[c[:2]] * c[2]
+            for c in cells:
+                if now[c[k]] > 0 and c[k] in goals[d]:
+                    weight[c[:2]] *= goals[d][c[k]] * whole / now[c[k]]
+    held = spark.createDataFrame(cells, "source string, lang string, tokens long")
+    targets = {d: spark.createDataFrame(list(g.items()), f"{d} string, target double") for d, g in goals.items()}
+    out = mixing.calibrate(held, targets, 9)
+    assert all(abs(x["weight"] / weight[x["source"], x["lang"]] - 1) < 1e-9 for x in out.collect()) and out.count() == len(cells)
+    gaps = {x["dim"]: x["gap"] for x in mixing.largest_gap(out, targets).collect()}
+    assert gaps["lang"] < 1e-9 and set(gaps) == {"source", "lang"}
+
+
+def test_mixing_of_long_texts_and_clashing_names(spark):
+    rows = [(1, "word " * 400_000, "en", "s"), (2, "", None, None), (2, None, "en", "s"), (2, "a b", "en", "s"), (2, "a b", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as mix_source", "2 as c0", "3 as tokens", "4 as draw", "5 as probability", "6 as mix_kept")
+    out = mixing.mix(docs)
+    assert [c for c in docs.columns if c != "mix_kept"] == out.columns[:9] and out.columns[-1] == "mix_kept"
+    got = out.collect()
+    assert sorted(x["mix_tokens"] for x in got) == [0, 0, 2, 2, 400_000] and all((x["mix_source"], x["c0"], x["tokens"], x["draw"], x["probability"]) == (1, 2, 3, 4, 5) for x in got)
+
+
 @tables
 @pytest.mark.parametrize("name", sorted(llm_queries.ORACLES))
 def test_oracles(spark, name):
@@ -206,7 +234,7 @@ def test_pipeline(spark):
     from test_near import brute
 
     before, after = held["near_dedup"]
-    want = brute(list(before[["doc_id", "text"]].itertuples(index=False, name=None)))
+    want = brute(list(before[["doc_id", "text"]].itertuples(index=False, name=None)), 80)
     assert set(after.doc_id) == {c for _, _, c in want}
     from test_repeats import brute_bytes
 
