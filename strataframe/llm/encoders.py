@@ -16,10 +16,13 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000  # about 200 MB
+SPACE = chr(256 + 32)  # of byte-level vocabularies
 CACHE_CHARS = 64  # longer pieces are encoded each time
 #: whitespace other than space, tab, line feed and carriage return
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: letters and the ASCII punctuation that ends the piece: a token ends between them
+_TAILED = re.compile(r"([ \t\r\n]*[^\W\d_]+)([!-/:-@\[-`{-~]+)")
 _PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
@@ -35,7 +38,8 @@ class _Cache(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        v = self.encode(piece)
+        m = _TAILED.fullmatch(piece)
+        v = self[m[1]] + self[m[2]] if m and m[1].lstrip(" \t\r\n").isalpha() else self.encode(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -51,7 +55,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.kind, self.known = self._kind(spec), _Cache(self.by_library)
+        self.kind, self.known, self.model = self._kind(spec), _Cache(self._piece), self.library.model
 
     def _kind(self, spec) -> str:
         """Which of the two known shapes the file has: byte (whitespace counts) or word (it only separates); any other is left to the library."""
@@ -65,6 +69,14 @@ class Encoder:
             return "word"
         return ""
 
+    def _piece(self, piece: str) -> bytes:
+        """Plain ASCII words meet the library's model at once: their pre-token is the word, after a space with its stand-in."""
+        word = piece[1:] if self.kind == "byte" and piece[0] == " " else piece
+        if not (word.isascii() and word.isalpha()):
+            return self.by_library(piece)
+        word = word.lower() if self.kind == "word" else SPACE + word if word is not piece else word
+        return packed([t.id for t in self.model.tokenize(word)])
+
     def by_library(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
 
