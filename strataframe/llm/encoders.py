@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 1_000_000  # about 200 MB
+CACHE_WORDS = 700_000  # about 150 MB
 SPACE = chr(256 + 32)  # of byte-level vocabularies
 CACHE_CHARS = 64  # longer pieces are encoded each time
 #: whitespace other than space, tab, line feed and carriage return

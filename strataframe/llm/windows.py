@@ -35,7 +35,7 @@ from .common import bins_for, dealt, keyed, materialise, mix64, rows_of, ship, t
 HOT_RUNS = 20_000
 GROUP_BYTES = 2 << 20  # of text in a group of documents
 BIN_BYTES = 3 << 20  # of records in a bin
-SLICE = 8 << 20  # bytes of text whose contexts are counted before they travel
+SLICE = 2 << 20  # bytes of text whose contexts are counted before they travel
 SEGMENT = 1 << 20  # longer texts are cut for the search of anchors, with overlaps
 
 RUN = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("s", "<i8"), ("n", "<u2"), ("a", "<u2")])
