@@ -147,3 +147,12 @@ def dictionary_size(df: DataFrame, value: str, width: int = 4) -> DataFrame:
     """One row: cardinality and estimated bytes (entries and codes)."""
     n = df.agg(F.countDistinct(value).alias("cardinality"), F.count(value).alias("n"))
     return n.select("cardinality", (F.col("cardinality") * width + F.col("n") * code_width(F.col("cardinality"))).alias("bytes"))
+
+
+def dictionary_write(codes: DataFrame, path: str) -> None:
+    """Keep a dictionary's table, sorted by code."""
+    codes.repartitionByRange("code").sortWithinPartitions("code").write.mode("errorifexists").parquet(path)
+
+
+def dictionary_read(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -18,16 +18,21 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
+def widened(c: Column) -> Column:
+    """Integers as longs; fractions stay what they are."""
+    return c * F.lit(1).cast("long")
+
+
 def add(a: Column, b: Column) -> Column:
-    return a + b
+    return widened(a) + b
 
 
 def sub(a: Column, b: Column) -> Column:
-    return a - b
+    return widened(a) - b
 
 
 def mul(a: Column, b: Column) -> Column:
-    return a * b
+    return widened(a) * b
 
 
 def div(a: Column, b: Column) -> Column:
@@ -180,3 +185,19 @@ def conflict_detect(df: DataFrame, row_id: str, value: str, lanes: int, out: str
     """How many earlier lanes of the group hold the same value."""
     w = Window.partitionBy(F.expr(f"`{row_id}` div {int(lanes)}"), value).orderBy(row_id)
     return df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+
+
+def shift_left_by(a: Column, n: Column) -> Column:
+    """Each lane by a count of its own (0 to 63)."""
+    return F.call_function("shiftleft", a, n.cast("int"))
+
+
+def shift_right_by(a: Column, n: Column) -> Column:
+    """Arithmetic, each lane by a count of its own (0 to 63)."""
+    return F.call_function("shiftright", a, n.cast("int"))
+
+
+def mul_high64(a: Column, b: Column) -> Column:
+    """The upper 64 bits of the 128-bit product of longs."""
+    product, word = a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return F.call_function("div", product - F.pmod(product, word), word).cast("long")

@@ -6,15 +6,16 @@ ts, then seq) unless a delete has the same or a later ts. Resolving is one group
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEYS = ("row_id", "ts", "seq", "op")
 FLUSH_AT = 100_000
+_STATE = "generation int, flushed long, flushing boolean"
 
 
 def log_schema(payload: T.StructType) -> T.StructType:
@@ -68,7 +69,11 @@ def pending(log: DataFrame) -> DataFrame:
 
 @dataclass
 class DeltaLog:
-    """A change log kept as Parquet files below path, in generations: one takes appends, older ones are being flushed."""
+    """A change log kept as Parquet files below path, in generations: one takes appends, older ones are being flushed.
+
+    Opened on a path that has a log, it goes on from there: the clock and the sequence from the latest row, the newest
+    generation, and the flushed count from a one-row table beside the log.
+    """
 
     spark: SparkSession
     path: str
@@ -78,31 +83,44 @@ class DeltaLog:
     clock: int = 0
     flushing: bool = False
     flushed: int = 0
+    seq: int = 0
 
     def __post_init__(self) -> None:
         self.schema = log_schema(self.payload)
+        last = self.log().agg(F.max("ts"), F.max("seq")).first()
+        self.clock, self.seq = max(self.clock, last[0] or 0), max(self.seq, last[1] or 0)
+        try:
+            state = self.spark.read.schema(_STATE).parquet(f"{self.path}/_state").first()
+        except AnalysisException:
+            state = None
+        if state:
+            self.generation, self.flushed, self.flushing = state["generation"], state["flushed"], state["flushing"]
+
+    def _keep_state(self) -> None:
+        self.spark.createDataFrame([(self.generation, self.flushed, self.flushing)], _STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_state")
 
     def _append(self, rows: DataFrame) -> None:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("append").parquet(f"{self.path}/generation={self.generation}")
 
     def insert(self, rows: list[tuple] | DataFrame, ts: int = 0) -> None:
-        """Rows of (row_id, *payload); ts 0: the next global ts for each row (DataFrames: one for all)."""
+        """Rows of (row_id, *payload); ts 0: the next global ts for each row (DataFrames: one for all). Of equal keys and times the later row counts."""
         if isinstance(rows, DataFrame):
             self.clock = max(self.clock + 1, ts) if ts else self.clock + 1
-            self._append(rows.withColumns({"ts": F.lit(ts or self.clock), "seq": F.xxhash64(F.lit(uuid.uuid4().hex)), "op": F.lit("I")}))
+            self._append(rows.withColumns({"ts": F.lit(ts or self.clock), "seq": F.lit(self.seq + 1) + F.monotonically_increasing_id(), "op": F.lit("I")}))
+            self.seq = self.log().agg(F.max("seq")).first()[0] or self.seq
             return
         out = []
         for r in rows:
-            self.clock += 1
-            out.append((r[0], ts or self.clock, self.clock, "I", *r[1:]))
+            self.clock, self.seq = self.clock + 1, self.seq + 1
+            out.append((r[0], ts or self.clock, self.seq, "I", *r[1:]))
         self.clock = max(self.clock, ts)
         self._append(self.spark.createDataFrame(out, self.schema))
 
     def delete(self, row_ids: list[int], ts: int = 0) -> None:
         out = []
         for r in row_ids:
-            self.clock += 1
-            out.append((r, ts or self.clock, self.clock, "D", *[None] * len(self.payload)))
+            self.clock, self.seq = self.clock + 1, self.seq + 1
+            out.append((r, ts or self.clock, self.seq, "D", *[None] * len(self.payload)))
         self.clock = max(self.clock, ts)
         self._append(self.spark.createDataFrame(out, self.schema))
 
@@ -123,16 +141,19 @@ class DeltaLog:
 
     def begin_flush(self) -> None:
         self.flushing = True
+        self._keep_state()
 
     def end_flush(self, rows: int) -> None:
         self.flushed += rows
         self.flushing = False
+        self._keep_state()
 
     def store_for_flush(self) -> DataFrame | None:
         """The active generation if it is due; appends go to the next from now on."""
         if not self.should_flush():
             return None
         self.generation, self.flushed, self.flushing = self.generation + 1, 0, True
+        self._keep_state()
         return self.log(self.generation - 1)
 
     def finish_flush(self, generation: int | None = None) -> None:
@@ -142,6 +163,7 @@ class DeltaLog:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/generation={g}")
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         self.flushing = False
+        self._keep_state()
 
     def clear(self) -> None:
         for g in range(self.generation + 1):

@@ -34,8 +34,13 @@ def ordered_by_ts(segments: list[tuple[DataFrame, int]], row_id: str) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def merge_column(segments: list[tuple[DataFrame, int]], row_id: str, value: str, log: DataFrame | None = None) -> DataFrame:
-    """(ts, source_ord, pos, value) of segments and of a log's visible inserts after them; sort by the first three for the order."""
+def merge_column(segments: list[tuple[DataFrame, int]], row_id: str, value: str, log: DataFrame | None = None, kind: str = "long") -> DataFrame:
+    """(ts, source_ord, pos, value) of segments and of a log's visible inserts after them; sort by the first three for the order.
+
+    No segments and no log: no rows, value of type `kind`.
+    """
+    if not segments and log is None:
+        return SparkSession.active().createDataFrame([], f"ts long, source_ord int, pos long, value {kind}")
     base = ordered_by_ts(segments, row_id).select("ts", "source_ord", "pos", F.col(value).alias("value"), F.col(row_id).cast("long").alias("k")) if segments else None
     if log is None:
         return base.drop("k")

@@ -18,7 +18,7 @@ from .zonemap import BLOCK_ROWS, block_of, can_match, pruned_scan
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """columns: the projection (None: all); zones: a zone map to prune with; block_rows: rows of its blocks; row_id: the position column; blooms by column."""
+    """columns: the projection (None: all); zones: a zone map to prune with; block_rows: rows of its blocks; row_id: the position column; blooms: sketches of the whole table, by column."""
 
     columns: tuple[str, ...] | None = None
     row_id: str | None = None
@@ -28,8 +28,10 @@ class ScanOptions:
 
 
 def scan(df: DataFrame, pred: Predicate, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Matching rows, projected. The filter and the projection reach the Parquet reader."""
-    if options.zones is not None and options.row_id:
+    """Matching rows, projected. The filter and the projection reach the Parquet reader; a table whose sketches deny the predicate is not read."""
+    if options.blooms and not segment_can_match_blooms(pred, options.blooms, df.sparkSession, df.columns).first()["keep"]:
+        out = df.where(F.lit(False))
+    elif options.zones is not None and options.row_id:
         out = pruned_scan(df, options.zones, pred, options.row_id, options.block_rows)
     else:
         out = df.where(pred.column(df))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from .predicate import Node, Predicate, Term
 
 BLOCK_ROWS = 8192
+RANGES = 64
 
 
 def block_of(row_id: str, block_rows: int = BLOCK_ROWS) -> Column:
@@ -92,11 +93,28 @@ def pruned_blocks(zones: DataFrame, pred: Predicate, columns: list[str] | None =
 def pruned_scan(df: DataFrame, zones: DataFrame, pred: Predicate, row_id: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows that match, read from the blocks that can: the same rows as an unpruned scan.
 
-    The block filter is a semi-join whose strategy Spark picks by the size of the block list.
+    The blocks that can match become at most RANGES ranges of row ids, which the reader tests against its row groups'
+    and pages' statistics, so on a table in row order the other blocks are not read. Null row ids are in no block.
     """
-    keep = pruned_blocks(zones, pred, df.columns).where("keep").select("block_id")
-    held = df.withColumn("__block", block_of(row_id, block_rows))
-    return held.join(keep, held["__block"] == keep["block_id"], "left_semi").where(pred.column(df)).select(*df.columns)
+    return df.where(kept_rows(zones, pred, row_id, block_rows, df.columns)).where(pred.column(df))
+
+
+def kept_rows(zones: DataFrame, pred: Predicate, row_id: str, block_rows: int = BLOCK_ROWS, columns: list[str] | None = None) -> Column:
+    """A filter on row ids that holds in every block that can match: the blocks are cut into RANGES parts of equal width, each with a range from its first to its last such block."""
+    keep = pruned_blocks(zones, pred, columns)
+    ends = zones.agg(F.min("block_id").alias("a"), F.max("block_id").alias("b"))  # one row
+    part = F.floor((F.col("block_id") - F.col("a")) * F.lit(RANGES) / (F.col("b") - F.col("a") + 1))
+    found = keep.where("keep").join(F.broadcast(ends)).groupBy(part.alias("part")).agg(F.min("block_id").alias("first"), F.max("block_id").alias("last")).orderBy("first").collect()  # RANGES rows at most
+    spans: list[list[int]] = []
+    for r in found:
+        if spans and r["first"] <= spans[-1][1] + 1:
+            spans[-1][1] = r["last"]
+        else:
+            spans.append([r["first"], r["last"]])
+    out, i = F.lit(False), F.col(f"`{row_id}`")
+    for a, b in spans:
+        out = out | ((i >= F.lit(a * block_rows)) & (i < F.lit((b + 1) * block_rows)))
+    return out
 
 
 def segment_can_match(zones: DataFrame, pred: Predicate, columns: list[str] | None = None) -> DataFrame:

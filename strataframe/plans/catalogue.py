@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import encodings as enc
 from ..functions import vecops as vec
 from ..operators import aggregate, bloom, delta, merge, zonemap
 from ..operators.predicate import Predicate, count_true, mask_and, mask_not, mask_or, predicate
 from ..operators.scan import ScanOptions, scan, scan_segments, scan_stats, segment_can_match_blooms
+from ..sources.table import SegmentWriter, open_segment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,7 +118,11 @@ query("null_count", f"SELECT count(*) FILTER (WHERE l_linenumber IS NULL) AS nul
 query(
     "column_stats",
     " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM ({_HOLED})" for c in LINE),
-)(lambda s, d: aggregate.column_stats(_holed(s, d), list(LINE)))
+)(lambda s, d: aggregate.column_stats(_holed(s, d), list(LINE)).drop("min_value", "max_value"))
+query(
+    "column_stats_text",
+    "SELECT 'event_type' AS \"column\", count(*) AS total_count, count(*) - count(event_type) AS null_count, count(DISTINCT event_type) AS distinct_count, min(event_type) AS min_value, max(event_type) AS max_value FROM events UNION ALL SELECT 'big', count(*), 0, count(DISTINCT event_id), CAST(min(event_id) + 9007199254740992 AS VARCHAR), CAST(max(event_id) + 9007199254740992 AS VARCHAR) FROM events",
+)(lambda s, d: aggregate.column_stats(table(s, d, "events").withColumn("big", F.col("event_id") + F.lit(2**53)), ["event_type", "big"]).drop("min", "max"))
 
 
 # zone maps
@@ -315,3 +323,108 @@ query(
     "compact_with_delta",
     f"WITH r AS ({_resolved()}) SELECT CAST(b.i AS BIGINT) AS row_id, -1 AS c0, CAST(b.i * 10 AS BIGINT) AS c1 FROM range(0, 200) b(i) WHERE NOT EXISTS (SELECT 1 FROM {_LOG} l WHERE l.row_id = b.i) UNION ALL SELECT row_id, c0, c1 FROM r",
 )(lambda s, d: merge.apply_log(_base(s, d), _log(s, d)))
+
+
+# segments: written, opened again and read in slices
+def _place(s: SparkSession, label: str) -> str:
+    """A fresh folder below the shared checkpoint folder; where none is set, a local session has a temporary one and a cluster is an error."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and s.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or 'file://' + tempfile.gettempdir()}/{label}-{uuid.uuid4().hex}"
+
+
+def _segment(s, d):
+    held = table(s, d, "events").select("event_id", "user_id", F.length("event_type").alias("kind"), "value")
+    w = SegmentWriter(s, _place(s, "segment"), row_id="event_id", created_ts=7).encode("user_id", "delta").encode("kind", "rle")
+    return open_segment(s, w.add_zone_map("user_id", BLOCK).add_zone_map("event_id", BLOCK).add_bloom_filter("user_id", 1 << 16).finish(held).path)
+
+
+query("segment_reopen", "SELECT event_id, user_id, CAST(length(event_type) AS INTEGER) AS kind, value FROM events")(lambda s, d: _segment(s, d).df)
+query("segment_slice", "SELECT value FROM events WHERE event_id >= 300 AND event_id < 350")(lambda s, d: _segment(s, d).read_values("value", 300, 50))
+query("segment_zone_map", ORACLES["zone_map_build"])(lambda s, d: _segment(s, d).zone_map())
+query("segment_prefetch", "SELECT user_id FROM events")(lambda s, d: _segment(s, d).prefetch("user_id"))
+query(
+    "segment_metadata",
+    "SELECT * FROM (VALUES ('event_id', 'int64', 'plain', 0), ('user_id', 'int64', 'delta', 1), ('kind', 'int32', 'rle', 2), ('value', 'double', 'plain', 3)) t(\"column\", type, encoding, ordinal), (SELECT count(*) AS num_rows, CAST(7 AS BIGINT) AS created_ts FROM events)",
+)(lambda s, d: (lambda g: s.createDataFrame([(g.name(i), g.column_type(i), g.column_encoding(i), i, g.num_rows, g.created_ts) for i in range(g.num_columns)], "column string, type string, encoding string, ordinal int, num_rows long, created_ts long"))(_segment(s, d)))
+query("segment_stats", "SELECT 'user_id' AS \"column\", count(*) AS total_count, count(*) - count(user_id) AS null_count, count(DISTINCT user_id) AS distinct_count, CAST(min(user_id) AS DOUBLE) AS min, CAST(max(user_id) AS DOUBLE) AS max FROM events")(lambda s, d: _segment(s, d).stats().where(F.col("column") == "user_id").drop("min_value", "max_value"))
+query("segment_pruned_scan", "SELECT event_id, value FROM events WHERE event_id >= 200 AND event_id < 260")(
+    lambda s, d: (lambda g: scan(g.df, predicate().ge("event_id", 200).and_().lt("event_id", 260).build(), ScanOptions(("event_id", "value"), "event_id", BLOCK, g.zone_map())))(_segment(s, d))
+)
+query("segment_bloom_scan", "SELECT event_id FROM events WHERE user_id = 7 UNION ALL SELECT event_id FROM events WHERE user_id = -4")(
+    lambda s, d: (lambda g: scan(g.df, predicate().eq("user_id", 7).build(), ScanOptions(("event_id",), blooms={"user_id": g.bloom_filter("user_id")})).unionByName(scan(g.df, predicate().eq("user_id", -4).build(), ScanOptions(("event_id",), blooms={"user_id": g.bloom_filter("user_id")}))))(_segment(s, d))
+)
+
+
+# sketches asked for what they do not hold: every member found, of 10,000 others at most 1 %
+@query("bloom_nonmembers", "SELECT count(DISTINCT user_id) AS members, count(DISTINCT user_id) AS found, CAST(10000 AS BIGINT) AS others, TRUE AS few FROM events")
+def _(s, d):
+    sketch = bloom.build_bloom(table(s, d, "events"), "user_id", 1 << 16)
+    inside = sketch.might_contain(table(s, d, "events").select("user_id").distinct(), "user_id").agg(F.count(F.lit(1)).alias("members"), F.count_if("might_contain").alias("found"))
+    other = sketch.might_contain(s.range(1, 10_001).select((-F.col("id")).alias("user_id")), "user_id").agg(F.count(F.lit(1)).alias("others"), (F.count_if("might_contain") <= 100).alias("few"))
+    return inside.join(F.broadcast(other))  # one row by one row
+
+
+@query("bloom_string_nonmembers", "SELECT count(*) AS others, TRUE AS few FROM (SELECT DISTINCT p_name FROM part)")
+def _(s, d):
+    p = table(s, d, "part").select("p_name").distinct()
+    return bloom.build_bloom(p, "p_name").might_contain(p.select(F.concat("p_name", F.lit("#")).alias("p_name")), "p_name").agg(F.count(F.lit(1)).alias("others"), (F.count_if("might_contain") <= F.count(F.lit(1)) * 0.01).alias("few"))
+
+
+@query("bloom_segment_no_match", "SELECT FALSE AS keep")
+def _(s, d):
+    sketch = bloom.build_bloom(table(s, d, "events"), "user_id", 1 << 16)
+    return segment_can_match_blooms(predicate().eq("user_id", -5).and_().lt("value", 1e9).build(), {"user_id": sketch}, s)
+
+
+# a change log on disk: inserts, an overwrite, deletes, opened again, flushed
+def _store(s, d):
+    held = table(s, d, "events").select(F.col("event_id").alias("row_id"), F.length("event_type").alias("c0"), F.col("user_id").alias("c1")).where("row_id < 500")
+    place, payload = _place(s, "changes"), T.StructType([T.StructField("c0", T.IntegerType()), T.StructField("c1", T.LongType())])
+    store = delta.DeltaLog(s, place, payload, flush_at=400)
+    store.insert(held)
+    store.delete(list(range(0, 500, 50)))
+    again = delta.DeltaLog(s, place, payload, flush_at=400)
+    again.insert([(50, -1, -1), (7, -2, -2)])
+    return again
+
+
+_STORED = "SELECT event_id AS row_id, CASE event_id WHEN 50 THEN -1 WHEN 7 THEN -2 ELSE CAST(length(event_type) AS INTEGER) END AS c0, CASE event_id WHEN 50 THEN -1 WHEN 7 THEN -2 ELSE user_id END AS c1 FROM events WHERE event_id < 500 AND (event_id % 50 <> 0 OR event_id = 50)"
+query("delta_store_reopen", _STORED)(lambda s, d: delta.resolve(_store(s, d).log()).drop("ts"))
+query("delta_store_clock", "SELECT count(*) + 2 AS pending, CAST(10 AS BIGINT) AS deletes, CAST(13 AS BIGINT) AS last_ts FROM events WHERE event_id < 500")(lambda s, d: delta.pending(_store(s, d).log()).drop("memory"))
+query("delta_store_flush", "SELECT count(*) + 2 AS drained, CAST(0 AS BIGINT) AS pending FROM events WHERE event_id < 500")(lambda s, d: (lambda g: (lambda out: s.createDataFrame([(out.where("op = 'I'").count(), g.pending())], "drained long, pending long"))(g.store_for_flush()))(_store(s, d)))
+query("merge_column_empty", "SELECT CAST(0 AS BIGINT) AS ts, CAST(0 AS INTEGER) AS source_ord, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS value WHERE FALSE")(lambda s, d: merge.merge_column([], "row_id", "value"))
+query(
+    "compaction_statistics",
+    "SELECT count(*) AS rows_in, count(*) - 3 + 2 AS rows_out, CAST(2 AS BIGINT) AS rows_inserted, CAST(3 AS BIGINT) AS rows_deleted FROM events",
+)(
+    lambda s, d: (lambda r: s.createDataFrame([(r.rows_in, r.rows_out, r.rows_inserted, r.rows_deleted)], "rows_in long, rows_out long, rows_inserted long, rows_deleted long"))(
+        merge.compact(table(s, d, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("c0")), s.createDataFrame([(1, 9, 1, "D", None), (2, 9, 2, "D", None), (3, 9, 3, "D", None), (-1, 9, 4, "I", 5), (-2, 9, 5, "I", 6)], "row_id long, ts long, seq long, op string, c0 long"), _place(s, "compact"))
+    )
+)
+query("vec_widened", "SELECT p_partkey, CAST(2147483647 AS BIGINT) + p_size AS s, CAST(-2147483648 AS BIGINT) - p_size AS d, CAST(2147483647 AS BIGINT) * p_size AS m FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", vec.add(F.lit(2**31 - 1), F.col("p_size").cast("int")).alias("s"), vec.sub(F.lit(-(2**31)).cast("int"), F.col("p_size").cast("int")).alias("d"), vec.mul(F.lit(2**31 - 1), F.col("p_size").cast("int")).alias("m"))
+)
+
+query("vec_shift_by", "SELECT event_id, a << CAST(event_id % 5 AS INTEGER) AS l, b >> CAST(event_id % 7 AS INTEGER) AS r FROM " + _AB)(lambda s, d: _ab(s, d).select("event_id", vec.shift_left_by(A(), F.col("event_id") % 5).alias("l"), vec.shift_right_by(B(), F.col("event_id") % 7).alias("r")))
+query("vec_mul_high64", "SELECT event_id, CAST(floor_high AS BIGINT) AS h FROM (SELECT event_id, (p - ((p % m) + m) % m) // m AS floor_high FROM (SELECT event_id, CAST(a * 90000000000000000 AS HUGEINT) * (b * 1000000000000000) AS p, CAST(18446744073709551616 AS HUGEINT) AS m FROM (SELECT event_id, user_id % 90 AS a, event_id % 97 - 48 AS b FROM events)))")(
+    lambda s, d: table(s, d, "events").select("event_id", vec.mul_high64(F.col("user_id") % 90 * F.lit(90000000000000000), (F.col("event_id") % 97 - 48) * F.lit(1000000000000000)).alias("h"))
+)
+
+
+@query("enc_dict_store", "SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT user_id AS value FROM events)")
+def _(s, d):
+    place = _place(s, "dictionary")
+    enc.dictionary_write(enc.dictionary_sorted(table(s, d, "events"), "user_id"), place)
+    return enc.dictionary_read(s, place)
+
+
+@query("column_build", "SELECT event_id AS row_id, CASE WHEN event_id % 10 = 3 THEN NULL ELSE user_id END AS v FROM events WHERE event_id < 200 UNION ALL SELECT 200 + i, NULL FROM range(0, 50) t(i) UNION ALL SELECT event_id - 400 + 250, user_id FROM events WHERE event_id >= 400 AND event_id < 430")
+def _(s, d):
+    from ..functions import columns as col
+
+    first = table(s, d, "events").where("event_id < 200").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("v"))
+    other = table(s, d, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("v"))
+    held = col.set_null(col.resize(first, 250), "v", F.col("row_id") % 10 == 3)
+    return col.append(held, col.copy_range(other, 400, 30), 250)

@@ -167,7 +167,7 @@ class Segment:
         return bloom.read_bloom(self.spark.read.parquet(f"{self.path}/_bloom_{r['column']}"), self.df.schema[r["column"]].dataType.simpleString(), r["bloom_bits"], r["bloom_hashes"])
 
     def stats(self) -> DataFrame:
-        return aggregate.column_stats(self.df, [f.name for f in self.df.schema.fields if logical(f.dataType).is_numeric])
+        return aggregate.column_stats(self.df, self.df.columns)
 
 
 def open_segment(spark: SparkSession, path: str) -> Segment:

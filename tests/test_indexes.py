@@ -56,6 +56,31 @@ def test_parquet_prunes_rows_at_the_reader(spark, tmp_path):
     assert int(leaf.metrics().get("numOutputRows").get().value()) < 1 << 17
 
 
+def test_pruned_scan_reads_less(spark, tmp_path):
+    """On a table in row order, blocks that cannot match are not read, though the predicate's own column is in no order."""
+    path = str(tmp_path / "t")
+    spark.range(1 << 18).selectExpr("id", "if(id div 4096 in (3, 40), 1, 0) as hit", "id % 7 as x").repartitionByRange(8, "id").sortWithinPartitions("id").write.option("parquet.block.size", 1 << 16).option("parquet.column.statistics.enabled#hit", "false").option("parquet.enable.dictionary", "false").parquet(path)
+    df = spark.read.parquet(path)
+    zones = build_zone_map(df, "id", ["hit"], 4096)
+    p = predicate().eq("hit", 1).build()  # the file has no statistics of this column
+
+    def read(out):
+        n = len(out.collect())
+        return n, int(out._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value())
+
+    plain, pruned = read(scan(df, p)), read(scan(df, p, ScanOptions(None, "id", 4096, zones)))
+    assert plain[0] == pruned[0] > 0 and pruned[1] < plain[1] / 2
+    assert scan(df, predicate().eq("hit", 9).build(), ScanOptions(None, "id", 4096, zones)).count() == 0
+
+
+def test_scan_with_blooms(rows):
+    df = rows(range(100))
+    options = ScanOptions(blooms={"v": build_bloom(df, "v", 8192)})
+    assert scan(df, predicate().eq("v", 5).build(), options).count() == 1
+    out = scan(df, predicate().eq("v", 5000).build(), options)
+    assert out.count() == 0 and "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()  # nothing is read
+
+
 def test_bloom(rows, spark):
     b = build_bloom(rows([7 * i for i in range(1000)]), "v", 1 << 16)
     probes = spark.range(10_000).selectExpr("cast(id as int) v")

@@ -4,7 +4,7 @@ from strataframe import types as L
 from strataframe.operators import aggregate, delta, merge
 from strataframe.operators.predicate import predicate
 from strataframe.sources.table import Segment, SegmentWriter, open_segment, writer_options
-from strataframe.streaming.ingest import ingest, read_log
+from strataframe.streaming.ingest import drained, ingest, read_log, resolved_stream
 
 
 def test_write_and_reopen(spark, tmp_path):
@@ -99,6 +99,33 @@ def test_delta_store(spark, tmp_path):
     assert delta.pending(big).first()["memory"] == 100 * 316
 
 
+def test_reopened_log_goes_on(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for i in range(1, 5):
+        d = delta.DeltaLog(spark, path, PAYLOAD, flush_at=3)
+        d.insert([(1, i, i)])
+        assert delta.get(d.log(), 1).first()["c0"] == i
+    d.end_flush(2)
+    again = delta.DeltaLog(spark, path, PAYLOAD, flush_at=3)
+    assert (again.clock, again.flushed, again.pending()) == (d.clock, 2, 2)
+    frame = spark.createDataFrame([(9, k, k) for k in range(20)], "row_id long, c0 int, c1 long").coalesce(1)
+    again.insert(frame, ts=50)
+    again.insert(frame.where("c0 < 5"), ts=50)
+    assert delta.get(again.log(), 9).first()["c0"] == 4
+    assert again.store_for_flush() is not None
+    third = delta.DeltaLog(spark, path, PAYLOAD, flush_at=3)
+    assert third.generation == 1 and third.flushing and third.pending() == 0
+    third.clear()
+    assert third.log().count() == 0
+
+
+def test_stats_of_large_integers_and_text(spark):
+    df = spark.createDataFrame([(2**53, "b"), (2**53 + 1, "a"), (None, "a"), (2**53, None)], "n long, s string")
+    got = {r["column"]: r for r in aggregate.column_stats(df, ["n", "s"]).collect()}
+    assert (got["n"]["distinct_count"], got["n"]["max_value"], got["n"]["null_count"]) == (2, str(2**53 + 1), 1)
+    assert (got["s"]["distinct_count"], got["s"]["min_value"], got["s"]["max_value"], got["s"]["min"]) == (2, "a", "b", None)
+
+
 def test_merging(spark, tmp_path, rows):
     a, b = rows(range(100)), rows(range(100, 200))
     r = merge.merge_segments(spark, [a, b], a.schema).agg(F.count("*"), F.min("v"), F.max("v")).first()
@@ -124,7 +151,18 @@ def test_streaming_ingestion(spark, tmp_path):
     schema = delta.log_schema(PAYLOAD)
     make_log(spark, (1, 100, "I", 1), (2, 101, "I", 2), (1, 102, "D", None)).write.parquet(str(tmp_path / "in"))
     flushed = []
+    run = lambda: ingest(spark, str(tmp_path / "in"), schema, str(tmp_path / "log"), str(tmp_path / "cp"), 2, lambda log: flushed.append(log.count())).awaitTermination()
     q = ingest(spark, str(tmp_path / "in"), schema, str(tmp_path / "log"), str(tmp_path / "cp"), 2, lambda log: flushed.append(log.count()))
     q.awaitTermination()
     assert flushed == [3]
     assert [r["row_id"] for r in delta.resolve(read_log(spark, schema, str(tmp_path / "log"))).collect()] == [2]
+    make_log(spark, (5, 110, "I", 5)).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert flushed == [3]  # one insert is pending since the flush
+    make_log(spark, (6, 111, "I", 6)).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert flushed == [3, 2] and drained(spark, str(tmp_path / "log")) >= 2
+    stream = resolved_stream(spark, str(tmp_path / "in"), schema)
+    stream.writeStream.outputMode("complete").format("memory").queryName("resolved").trigger(availableNow=True).start().awaitTermination()
+    got = {r["row_id"]: (r["ts"], r["c0"], r["visible"]) for r in spark.table("resolved").collect()}
+    assert got == {1: (100, 1, False), 2: (101, 2, True), 5: (110, 5, True), 6: (111, 6, True)}
