@@ -77,6 +77,11 @@ def dealt(df: DataFrame, keys: str | list[str], n: int) -> DataFrame:
     return df.repartition(n, *([keys] if isinstance(keys, str) else keys))
 
 
+def by_bin(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df in n partitions, an int key k in partition k mod n: equal shares of the bins, where hashing would pile several into one task."""
+    return df.repartitionById(n, F.col(key))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list | None = None) -> DataFrame:
     """(k1, k2, doc_id, text, *more): k1, k2 identify the pair (id, text), never null.
 

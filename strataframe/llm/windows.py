@@ -5,7 +5,7 @@ a run. Equal windows have equal anchors, and the context that follows an anchor
 
 1. `candidates`: every run sends the hash of its anchor's context to a bin; a context that occurs once rules its
    windows out. A context that a slice of text holds several times is known to repeat: its runs stay without asking,
-   and one witness with their number goes to the bin, so a very frequent context sends one record a slice. Runs that
+   and one witness with their number goes to the bin, so a very frequent context sends one record a task. Runs that
    stay go to a table in the shared folder, dealt by document.
 2. `exchange`: runs that stay travel as packed strings to the bin of their context, where `decide` finds equal
    windows exactly, on the strings themselves. Within a group of documents equal strings are merged first, so a
@@ -13,15 +13,18 @@ a run. Equal windows have equal anchors, and the context that follows an anchor
 3. The decisions go back to the documents.
 
 A context found in more than max(HOT_RUNS, 1e-5 of all runs) runs is hot: its windows travel one by one, to the
-bin of the whole window's hash, so that no bin holds all of them. There are at most 1e5 hot contexts, whatever
-the input, so their list can be broadcast. Bins and groups hold a fixed number of bytes; more input, more bins, and
-more tasks: every exchange is cut into as many as its bytes ask for.
+bin of the whole window's hash, so that no bin holds all of them. They travel twice: first to a bin of the hash salted
+with the group, where equal windows of many groups become one record with a weight, then to the bin of the hash alone;
+so a window that is in every group sends the square root of their number to a bin, not one record each. There are at
+most 1e5 hot contexts, whatever the input, so their list can be broadcast. Bins and groups hold a fixed number of bytes;
+more input, more bins, and more tasks: every exchange is cut into as many as its bytes ask for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import bins_for, dealt, keyed, materialise, mix64, rows_of, ship, tasks_for, text_bytes, words_at, word_hashes
+from .common import bins_for, by_bin, keyed, materialise, mix64, rows_of, ship, tasks_for, text_bytes, words_at, word_hashes
 
 HOT_RUNS = 20_000
 GROUP_BYTES = 2 << 20  # of text in a group of documents
@@ -120,13 +123,70 @@ def _blobs(key: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def _batch(rows: list[tuple[int, bytes]], names: tuple[str, str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=list(names))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=list(names))
 
 
 def _joined(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
 
+def _strings_sent(to: np.ndarray, records: np.ndarray, strings: list[bytes]) -> list[tuple[int, bytes]]:
+    """SENT records and the strings they name, packed by bin."""
+    order = np.argsort(to, kind="stable")
+    to, records, rows = to[order], records[order], []
+    cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            part = records[a:b].copy()
+            ids, part["sid"] = np.unique(part["sid"], return_inverse=True)
+            mine = [strings[i] for i in ids.tolist()]
+            head = np.array([len(part), len(mine)], "<u4").tobytes()
+            rows.append((int(to[a]), head + part.tobytes() + np.array([len(x) for x in mine], "<u4").tobytes() + b"".join(mine)))
+    return rows
+
+
+def _strings_met(blobs: list[bytes], merge: bool) -> tuple[np.ndarray, list[bytes]]:
+    """What `_strings_sent` packed: (records, strings); merge: equal strings are one."""
+    records, ids, strings = [], {}, []
+    for blob in blobs:
+        n, m = np.frombuffer(blob, "<u4", 2).tolist()
+        part = np.frombuffer(blob, SENT, n, 8).copy()
+        lengths = np.frombuffer(blob, "<u4", m, 8 + part.nbytes)
+        at, own = 8 + part.nbytes + 4 * m, []
+        for size in lengths.tolist():
+            if merge:
+                own.append(ids.setdefault(blob[at : at + size], len(ids)))
+            else:
+                own.append(len(strings))
+                strings.append(blob[at : at + size])
+            at += size
+        part["sid"] = np.array(own, "<u4")[part["sid"]]
+        records.append(part)
+    return np.concatenate(records), list(ids) if merge else strings
+
+
+def _lighter(records: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(MARK records already known to repeat, the records that still travel) of single windows, equal ones by sid.
+
+    smaller: those of the least document travel, the others repeat; else one of several travels for all, with a weight.
+    """
+    records = records[np.lexsort((records["ord"], records["sid"]))]
+    first = np.concatenate(([True], records["sid"][1:] != records["sid"][:-1]))
+    of = np.cumsum(first) - 1
+    if smaller:
+        on = records["ord"] == records["ord"][first][of]
+        known, left = records[~on], records[on]
+    else:
+        several = (np.bincount(of) > 1)[of]
+        known, left = records[several & (records["own"] > 0)], records[first]
+        left["own"] &= ~several[first]
+        left["many"] |= several[first]
+    marks = np.empty(len(known), MARK)
+    for name in MARK.names:
+        marks[name] = known[name]
+    return marks, left
+
+
 class Exchange:
     """Repeated windows of `docs` (columns id and text): see the module's text."""
 
@@ -141,14 +201,15 @@ class Exchange:
         self.doc_tasks = tasks_for(total)
         self.columns, self.text_col = docs.schema.fields if carry else [], text_col
         held = keyed(docs, id_col, text_col, [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(self.columns) if f.name != text_col])
-        self.docs = held.withColumn("g", F.pmod("k1", F.lit(self.groups)))
-        self.by_group = dealt(self.docs, "g", self.doc_tasks)
+        self.docs = held.withColumn("g", F.pmod("k1", F.lit(self.groups)).cast("int"))
+        self.by_group = by_bin(self.docs, "g", self.doc_tasks)
 
     def candidates(self) -> tuple[DataFrame, list[int]]:
         """(table of g and packed runs whose context occurs more than once, hot contexts)."""
         w, bins, groups, hot_at = self.w, self.bins, self.groups, max(HOT_RUNS, int(self.n_runs * 1e-5))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told: list[np.ndarray] = []
             for part, texts in rows_of(batches, most=SLICE):
                 cut, text_of, place = _segments(texts, w)
                 text, s, n, a, h = w.runs(cut)
@@ -158,11 +219,17 @@ class Exchange:
                 contexts, index, counts = np.unique(h, return_inverse=True, return_counts=True)
                 several = counts[index] > 1
                 known = out[several]
-                told = np.zeros(int((counts > 1).sum()), RUN)
-                told["h"], told["k1"], told["s"] = contexts[counts > 1], counts[counts > 1], -1
-                out = np.concatenate((out[~several], told))
+                told.append(np.stack((contexts[counts > 1], counts[counts > 1].astype(np.uint64))))
+                out = out[~several]
                 rows = [(-1 - g, blob) for g, blob in _blobs(known["k1"] % groups, known)]
                 yield _batch(rows + list(_blobs(out["h"] % np.uint64(bins), out)), ("bin", "runs"))
+            if told:
+                contexts, counts = np.concatenate(told, axis=1)
+                contexts, index = np.unique(contexts, return_inverse=True)
+                out = np.zeros(len(contexts), RUN)
+                out["h"], out["s"] = contexts, -1
+                np.add.at(out["k1"], index, counts.astype(np.int64))
+                yield _batch(list(_blobs(out["h"] % np.uint64(bins), out)), ("bin", "runs"))
 
         def meet(table: pa.Table) -> pa.Table:
             runs, k = _joined(table.column("runs"), RUN), table.column("bin")[0].as_py()
@@ -176,8 +243,8 @@ class Exchange:
                 rows = [*_blobs(stay["k1"] % groups, stay), *([(-1, hot.tobytes())] if len(hot) else [])]
             return pa.Table.from_batches([_batch(rows, ("g", "runs"))])
 
-        sent = dealt(self.docs.select("k1", "k2", "text").mapInArrow(send, "bin long, runs binary"), "bin", tasks_for(int(self.n_runs * RUN.itemsize)))
-        found = materialise(sent.groupBy("bin").applyInArrow(meet, "g long, runs binary"), "runs")
+        sent = by_bin(self.docs.select("k1", "k2", "text").mapInArrow(send, "bin int, runs binary"), "bin", tasks_for(int(self.n_runs * RUN.itemsize)))
+        found = materialise(sent.groupBy("bin").applyInArrow(meet, "g int, runs binary"), "runs")
         hot = [int(x) for r in found.where("g = -1").select("runs").collect() for x in np.frombuffer(r[0], "<u8")]  # at most 1e5
         return found.where("g >= 0"), hot
 
@@ -187,7 +254,7 @@ class Exchange:
         smaller: a window counts as repeated only where a smaller id has it; else wherever it occurs again.
         merge: equal strings of several groups are one string to `decide`; else each comes as it was sent.
         """
-        w, bins, groups = self.w, self.bins, self.groups
+        w, bins, groups, salts = self.w, self.bins, self.groups, isqrt(self.groups) + 1
         found, hot = self.candidates()
         hot_sent = self.spark.sparkContext.broadcast(np.array(sorted(hot), "<u8"))
 
@@ -230,17 +297,10 @@ class Exchange:
                     rows += [(-1 - g, blob) for g, blob in _blobs(known["k1"] % groups, known)]
                 sent = np.array(sent, SENT)
                 bin_of = sent["h"] % np.uint64(bins)
+                salt = docs.column("g")[0].as_py() % salts
                 for i in np.flatnonzero(np.isin(sent["h"], hot)).tolist() if len(hot) else ():
-                    bin_of[i] = xxhash.xxh3_64_intdigest(strings[sent["sid"][i]]) % bins
-                order = np.argsort(bin_of, kind="stable")
-                bin_of, sent = bin_of[order], sent[order]
-                cuts = np.concatenate(([0], np.flatnonzero(bin_of[1:] != bin_of[:-1]) + 1, [len(sent)]))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    part = sent[a:b].copy()
-                    ids, part["sid"] = np.unique(part["sid"], return_inverse=True)
-                    mine = [strings[i] for i in ids.tolist()]
-                    head = np.array([len(part), len(mine)], "<u4").tobytes()
-                    rows.append((int(bin_of[a]), head + part.tobytes() + np.array([len(x) for x in mine], "<u4").tobytes() + b"".join(mine)))
+                    bin_of[i] = bins + xxhash.xxh3_64_intdigest(strings[sent["sid"][i]], salt) % bins
+                rows += _strings_sent(bin_of, sent, strings)
             return pa.Table.from_batches([_batch(rows, ("bin", "sent"))])
 
         def meet(table: pa.Table) -> pa.Table:
@@ -250,32 +310,28 @@ class Exchange:
             blobs = table.column("sent").to_pylist()
             if k < 0:
                 return pa.Table.from_batches([_batch([(-1 - k, b"".join(blobs))], ("g", "marks"))])
-            records, ids, strings, at = [], {}, [], 0
-            for blob in blobs:
-                n, m = np.frombuffer(blob, "<u4", 2).tolist()
-                part = np.frombuffer(blob, SENT, n, 8).copy()
-                lengths = np.frombuffer(blob, "<u4", m, 8 + part.nbytes)
-                at = 8 + part.nbytes + 4 * m
-                own = []
-                for size in lengths.tolist():
-                    if merge:
-                        own.append(ids.setdefault(blob[at : at + size], len(ids)))
-                    else:
-                        own.append(len(strings))
-                        strings.append(blob[at : at + size])
-                    at += size
-                part["sid"] = np.array(own, "<u4")[part["sid"]]
-                records.append(part)
-            marks = decide(np.concatenate(records), list(ids) if merge else strings)
+            records, strings = _strings_met(blobs, merge or k >= bins)
+            if k >= bins:  # hot windows, before their last bin
+                marks, records = _lighter(records, smaller)
+                to = np.array([xxhash.xxh3_64_intdigest(strings[i]) % bins for i in records["sid"].tolist()], np.int64)
+                rows = [*_blobs(marks["k1"] % groups, marks), *((-1 - b, blob) for b, blob in _strings_sent(to, records, strings))]
+                return pa.Table.from_batches([_batch(rows, ("g", "marks"))])
+            marks = decide(records, strings)
             return pa.Table.from_batches([_batch(list(_blobs(marks["k1"] % groups, marks)), ("g", "marks"))])
 
         runs = (found.agg(F.sum(F.octet_length("runs"))).first()[0] or 0) // RUN.itemsize
-        sent = dealt(self._with(found).applyInArrow(send, "bin long, sent binary"), "bin", tasks_for(int(runs * (SENT.itemsize + (w.length + w.reach / 2) * (6 if w.words else 1)))))
-        return sent.groupBy("bin").applyInArrow(meet, "g long, marks binary")
+        sent = by_bin(self._with(found).applyInArrow(send, "bin int, sent binary"), "bin", tasks_for(int(runs * (SENT.itemsize + (w.length + w.reach / 2) * (6 if w.words else 1)))))
+        marks = sent.groupBy("bin").applyInArrow(meet, "g int, marks binary")
+        if not hot:
+            return marks
+        marks = materialise(marks, "marks")
+        left = marks.where("g < 0").select((-1 - F.col("g")).alias("bin"), F.col("marks").alias("sent"))
+        left = by_bin(left, "bin", tasks_for(left.agg(F.sum(F.octet_length("sent"))).first()[0] or 0))
+        return marks.where("g >= 0").unionByName(left.groupBy("bin").applyInArrow(meet, "g int, marks binary"))
 
     def _with(self, packed: DataFrame):
         """The documents' groups beside those of a table with a column g."""
-        return self.by_group.groupBy("g").cogroup(dealt(packed, "g", self.doc_tasks).groupBy("g"))
+        return self.by_group.groupBy("g").cogroup(by_bin(packed, "g", self.doc_tasks).groupBy("g"))
 
     def finish(self, marks: DataFrame, each: Callable, schema: str) -> DataFrame:
         """Per document each(doc_id, text bytes, first windows marked (sorted pairs of start and count)) as a row of schema."""
