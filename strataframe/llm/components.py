@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bins_for, dealt, materialise, mix64, ship
+from .common import bins_for, by_bin, materialise, mix64, ship
 
 PART_BYTES = 4 << 20  # of links in a part
 _LINK = np.dtype([("a", "<i8"), ("b", "<i8")])
@@ -87,7 +87,7 @@ def _between(parts: DataFrame, bins: int) -> DataFrame:
                 to, out = to[order], np.empty(len(held), _LINK)
                 out["a"], out["b"] = held["node"][order], held["root"][order]
                 cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]))
-                yield pa.RecordBatch.from_pydict({"bin": to[cuts[:-1]].astype(np.int64), "pairs": pa.array([out[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bin": to[cuts[:-1]].astype(np.int32), "pairs": pa.array([out[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
         pairs = np.unique(np.frombuffer(b"".join(table.column("pairs").to_pylist()), _LINK))
@@ -98,7 +98,7 @@ def _between(parts: DataFrame, bins: int) -> DataFrame:
         out = np.unique(out[out["a"] != out["b"]])
         return pa.table({"a": out["a"], "b": out["b"]})
 
-    return dealt(parts.mapInArrow(send, "bin long, pairs binary"), "bin", bins).groupBy("bin").applyInArrow(meet, "a long, b long")
+    return by_bin(parts.mapInArrow(send, "bin int, pairs binary"), "bin", bins).groupBy("bin").applyInArrow(meet, "a long, b long")
 
 
 def _labels(links: DataFrame, level: int) -> DataFrame:

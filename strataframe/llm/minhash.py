@@ -7,7 +7,9 @@ probability MISS at most (51 bands of 6 at 0.80, 40 of 7 at 0.85). Exact copies
 set is a node with a number of its own, so ids may be any longs or null. Links of different sets come about in three steps:
 
 1. Buckets. Sets that share a band are searched breadth-first on 1-bit sketches: a bucket gives a forest of likely
-   links (at most its size), never all pairs. The components of the forests are clusters.
+   links (at most its size), never all pairs. Sets of a slice of the table that share a band are joined before they
+   travel, and the first goes for all: a very large bucket sends one record a slice. A bucket with such records is
+   joined whole, since those left at home may be like any of it. The components of the forests are clusters.
 2. Clusters. Full shingle sets meet in their cluster, in blocks of at most BLOCK sets, together with the cluster's
    best-linked sets; a breadth-first search with exact intersections finds the components of each block.
 3. Clusters of more than one block. Sets that are not yet in their cluster's largest component, the outsiders, meet
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bins_for, dealt, materialise, mix64, rows_of, ship, tasks_for, word_hashes
-from .components import components
+from .common import bins_for, by_bin, dealt, materialise, mix64, rows_of, ship, tasks_for, word_hashes
+from .components import components, joined
 
 SHINGLE = 5
 PERCENT = 80  # 100 * intersection >= PERCENT * union
@@ -40,6 +42,7 @@ BLOCK = 1000  # sets in a block
 BLOCK_SHINGLES = 2_000_000  # or shingles
 HUBS = 8
 BIN_BYTES = 8 << 20
+SLICE_SETS = 8000  # whose common bands are found before they travel
 _BUCKET = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("sketch", "<u8", (2,))])
 
 
@@ -187,26 +190,48 @@ def _profiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _likely(sets: DataFrame, bins: int, percent: int) -> DataFrame:
-    """Likely links (a, b) of nodes, from the forests of all buckets; a pair may come from several buckets."""
+    """Likely links (a, b) of nodes, from the forests of all buckets; a pair may come from several buckets.
+
+    A record with n = 0 stands for several sets of a slice. Negative bins hold links that slices found.
+    """
     bands, _ = banding(percent)
 
+    def packed(to: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(to, kind="stable")
+        to, records = to[order], records[order]
+        cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]))
+        return pa.RecordBatch.from_pydict({"bin": to[cuts[:-1]].astype(np.int32), "members": pa.array([records[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, SLICE_SETS):
+                part = batch.slice(at, SLICE_SETS)
                 out = np.empty((part.num_rows, bands), _BUCKET)
                 out["key"] = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, bands)
                 out["node"], out["n"] = np.asarray(part.column(0))[:, None], np.asarray(part.column(1))[:, None]
                 out["sketch"] = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u8").reshape(-1, 1, 2)
                 out = out.ravel()
-                to = (out["key"] >> np.uint64(32)) % np.uint64(bins)
-                order = np.argsort(to, kind="stable")
-                to, out = to[order], out[order]
-                cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]))
-                yield pa.RecordBatch.from_pydict({"bin": to[cuts[:-1]].astype(np.int64), "members": pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+                order = np.argsort(out["key"], kind="stable")
+                key, node = out["key"][order], out["node"][order]
+                first = np.concatenate(([True], key[1:] != key[:-1]))
+                rep = np.flatnonzero(first)[np.cumsum(first) - 1]
+                if not first.all():
+                    links = joined(node[rep[~first]], node[~first])
+                    links = links[links["node"] != links["least"]]
+                    pairs = np.stack((links["node"], links["least"]), axis=1)
+                    yield packed(-1 - pairs[:, 0] % bins, pairs)
+                several = np.zeros(len(out), bool)
+                several[rep[~first]] = True
+                out = out[order[first]]
+                out["n"][several[first]] = 0
+                yield packed(((out["key"] >> np.uint64(32)) % np.uint64(bins)).astype(np.int64), out)
 
     def meet(table: pa.Table) -> pa.Table:
-        m = np.frombuffer(b"".join(table.column("members").to_pylist()), _BUCKET)
+        raw = b"".join(table.column("members").to_pylist())
+        if table.num_rows and table.column("bin")[0].as_py() < 0:
+            links = np.unique(np.frombuffer(raw, "<i8").reshape(-1, 2), axis=0)
+            return pa.table({"a": links[:, 0], "b": links[:, 1]})
+        m = np.frombuffer(raw, _BUCKET)
         m = m[np.argsort(m["key"], kind="stable")]
         cuts = np.concatenate(([0], np.flatnonzero(m["key"][1:] != m["key"][:-1]) + 1, [len(m)]))
         big = np.flatnonzero(np.diff(cuts) > 1)
@@ -214,12 +239,15 @@ def _likely(sets: DataFrame, bins: int, percent: int) -> DataFrame:
         for a, b in zip(cuts[big].tolist(), cuts[big + 1].tolist(), strict=True):
             part = np.sort(m[a:b], order="node")
             node = part["node"].tolist()
+            if not part["n"].all():
+                links.update((x, node[0]) for x in node[1:])
+                continue
             links.update((node[x], node[p]) if node[x] > node[p] else (node[p], node[x]) for p, x in bucket_forest(part["n"].astype(np.int64), part["sketch"], percent))
         links = np.array(sorted(links), np.int64).reshape(-1, 2)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    sent = sets.select("node", "n", "bands", "sketch").mapInArrow(send, "bin long, members binary")
-    return dealt(sent, "bin", bins).groupBy("bin").applyInArrow(meet, "a long, b long")
+    sent = sets.select("node", "n", "bands", "sketch").mapInArrow(send, "bin int, members binary")
+    return by_bin(sent, "bin", bins).groupBy("bin").applyInArrow(meet, "a long, b long")
 
 
 def _block_links(table: pa.Table, percent: int) -> tuple[list[int], list[tuple[int, int]]]:

@@ -51,6 +51,15 @@ def test_documents(docs, rows_of_corpus, monkeypatch, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None and r["n_shingles"])
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_slices_joined_before_they_travel(docs, rows_of_corpus, monkeypatch, size):
+    """Sets that share a band within a slice travel once; no link is lost for it."""
+    want = sorted(tuple(r) for r in minhash.near_duplicates(docs).select("row_key", "component_id", "kept").collect())
+    monkeypatch.setattr(minhash, "SLICE_SETS", size)
+    monkeypatch.setattr(minhash, "BIN_BYTES", 2000)
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs).select("row_key", "component_id", "kept").collect()) == want
+
+
 def test_one_of_each(docs):
     out = minhash.one_of_each(docs)
     assert out.columns == docs.columns
