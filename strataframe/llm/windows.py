@@ -320,14 +320,12 @@ class Exchange:
             return pa.Table.from_batches([_batch(list(_blobs(marks["k1"] % groups, marks)), ("g", "marks"))])
 
         runs = (found.agg(F.sum(F.octet_length("runs"))).first()[0] or 0) // RUN.itemsize
-        sent = by_bin(self._with(found).applyInArrow(send, "bin int, sent binary"), "bin", tasks_for(int(runs * (SENT.itemsize + (w.length + w.reach / 2) * (6 if w.words else 1)))))
+        tasks = tasks_for(int(runs * (SENT.itemsize + (w.length + w.reach / 2) * (6 if w.words else 1))))
+        sent = by_bin(self._with(found).applyInArrow(send, "bin int, sent binary"), "bin", tasks)
         marks = sent.groupBy("bin").applyInArrow(meet, "g int, marks binary")
-        if not hot:
-            return marks
-        marks = materialise(marks, "marks")
-        left = marks.where("g < 0").select((-1 - F.col("g")).alias("bin"), F.col("marks").alias("sent"))
-        left = by_bin(left, "bin", tasks_for(left.agg(F.sum(F.octet_length("sent"))).first()[0] or 0))
-        return marks.where("g >= 0").unionByName(left.groupBy("bin").applyInArrow(meet, "g int, marks binary"))
+        # once more: marks go through as they are, hot windows meet in their last bin
+        left = by_bin(marks.select((-1 - F.col("g")).alias("bin"), F.col("marks").alias("sent")), "bin", tasks)
+        return left.groupBy("bin").applyInArrow(meet, "g int, marks binary")
 
     def _with(self, packed: DataFrame):
         """The documents' groups beside those of a table with a column g."""
