@@ -42,7 +42,7 @@ BLOCK = 1000  # sets in a block
 BLOCK_SHINGLES = 2_000_000  # or shingles
 HUBS = 8
 BIN_BYTES = 8 << 20
-SLICE_SETS = 8000  # whose common bands are found before they travel
+SLICE_SETS = 2000  # whose common bands are found before they travel
 _BUCKET = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("sketch", "<u8", (2,))])
 
 
