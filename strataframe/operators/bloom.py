@@ -2,10 +2,12 @@
 
 The i-th position of a value is pmod(h1 + i * h2, bits), with h1, h2 from xxhash64; values are hashed in the type
 of the sketch, so negatives, fractions and long strings are all found again. A sketch has at most bits / 8 bytes.
+One of a fixed size fills up as values are added, until it answers yes to everything; a rate keeps it sparse.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 BITS, HASHES = 1 << 20, 7
 BUCKET = 32768  # bits of a bitmap of bitmap_construct_agg
+MARGIN = 1.25  # five standard deviations of approx_count_distinct
 
 
 def positions(value: Column, bits: int = BITS, hashes: int = HASHES) -> Column:
@@ -65,9 +68,25 @@ class Bloom:
         self.table.write.mode("overwrite").parquet(path)
 
 
-def build_bloom(df: DataFrame, column: str, bits: int = BITS, hashes: int = HASHES, block: Column | None = None) -> Bloom:
-    """A sketch of the column's non-null values; with block, one of the full size per block."""
+def bits_for(n: float, rate: float, bits: int = BITS, hashes: int = HASHES) -> int:
+    """bits, doubled until at most a share `rate` of other values is expected to pass for one of n values."""
+    if not 0 < rate < 1 or bits < 1:
+        raise ValueError("a rate between 0 and 1 and at least one bit")
+    while (1 - math.exp(-hashes * n / bits)) ** hashes > rate:
+        bits *= 2
+    return bits
+
+
+def build_bloom(df: DataFrame, column: str, bits: int = BITS, hashes: int = HASHES, block: Column | None = None, rate: float | None = None) -> Bloom:
+    """A sketch of the column's non-null values; with block, one of the full size per block.
+
+    rate: bits is then the least size and doubles with the number of different values (in the fullest block), which
+    a pass of its own estimates, so that at most about that share of other values is found.
+    """
     kind = df.schema[column].dataType.simpleString()
+    if rate is not None:
+        each = df.groupBy(*([block.alias("block_id")] if block is not None else [])).agg(F.approx_count_distinct(F.col(f"`{column}`")).alias("n"))
+        bits = bits_for(MARGIN * (each.agg(F.max("n")).first()[0] or 0), rate, bits, hashes)
     p = df.where(F.col(f"`{column}`").isNotNull()).select(*([block.alias("block_id")] if block is not None else []), F.explode(positions(F.col(f"`{column}`"), bits, hashes)).alias("p"))
     p = p.withColumn("bucket", F.expr(f"p div {BUCKET}"))
     keys = ["block_id", "bucket"] if block is not None else ["bucket"]

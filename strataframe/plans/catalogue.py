@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BLOCK = 1024  # rows of a block of events
+RATE = 0.001  # of non-members that a sketch may let pass
 LINE = ("l_orderkey", "l_linenumber", "l_quantity")
 SELECT = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE "
 
@@ -360,7 +361,7 @@ query("segment_bloom_scan", "SELECT event_id FROM events WHERE user_id = 7 UNION
 # sketches asked for what they do not hold: every member found, of 10,000 others at most 1 %
 @query("bloom_nonmembers", "SELECT count(DISTINCT user_id) AS members, count(DISTINCT user_id) AS found, CAST(10000 AS BIGINT) AS others, TRUE AS few FROM events")
 def _(s, d):
-    sketch = bloom.build_bloom(table(s, d, "events"), "user_id", 1 << 16)
+    sketch = bloom.build_bloom(table(s, d, "events"), "user_id", 1 << 16, rate=RATE)
     inside = sketch.might_contain(table(s, d, "events").select("user_id").distinct(), "user_id").agg(F.count(F.lit(1)).alias("members"), F.count_if("might_contain").alias("found"))
     other = sketch.might_contain(s.range(1, 10_001).select((-F.col("id")).alias("user_id")), "user_id").agg(F.count(F.lit(1)).alias("others"), (F.count_if("might_contain") <= 100).alias("few"))
     return inside.join(F.broadcast(other))  # one row by one row
@@ -369,12 +370,12 @@ def _(s, d):
 @query("bloom_string_nonmembers", "SELECT count(*) AS others, TRUE AS few FROM (SELECT DISTINCT p_name FROM part)")
 def _(s, d):
     p = table(s, d, "part").select("p_name").distinct()
-    return bloom.build_bloom(p, "p_name").might_contain(p.select(F.concat("p_name", F.lit("#")).alias("p_name")), "p_name").agg(F.count(F.lit(1)).alias("others"), (F.count_if("might_contain") <= F.count(F.lit(1)) * 0.01).alias("few"))
+    return bloom.build_bloom(p, "p_name", rate=RATE).might_contain(p.select(F.concat("p_name", F.lit("#")).alias("p_name")), "p_name").agg(F.count(F.lit(1)).alias("others"), (F.count_if("might_contain") <= F.count(F.lit(1)) * 0.01).alias("few"))
 
 
 @query("bloom_segment_no_match", "SELECT FALSE AS keep")
 def _(s, d):
-    sketch = bloom.build_bloom(table(s, d, "events"), "user_id", 1 << 16)
+    sketch = bloom.build_bloom(table(s, d, "events"), "user_id", 1 << 16, rate=RATE)
     return segment_can_match_blooms(predicate().eq("user_id", -5).and_().lt("value", 1e9).build(), {"user_id": sketch}, s)
 
 

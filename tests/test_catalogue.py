@@ -40,3 +40,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sketches_grow_with_their_values(spark, duck, tmp_path):
+    """Fixed sizes (2^16 and 2^20 bits) would be full here and let non-members pass."""
+    duck.sql(f"COPY (SELECT i AS event_id, i AS user_id, 0.5 AS value FROM range(90000) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck.sql(f"COPY (SELECT 'part ' || i AS p_name FROM range(300000) r(i)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    for name in ("events", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    for name in ("bloom_nonmembers", "bloom_segment_no_match", "bloom_string_nonmembers"):
+        got, want = catalogue.QUERIES[name](spark, str(tmp_path)), con.sql(catalogue.ORACLES[name])
+        assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), want.columns), name

@@ -119,3 +119,13 @@ def test_segment_bloom(rows, spark):
     keep = lambda p: segment_can_match_blooms(p.build(), b, spark).first()["keep"]
     assert keep(predicate().eq("v", 5)) and not keep(predicate().eq("v", 5000)) and not keep(predicate().eq("v", 5).and_().eq("v", 5000))
     assert keep(predicate().eq("v", 5000).or_().eq("v", 5)) and keep(predicate().eq("v", 5000).not_()) and keep(predicate().eq("w", 5000)) and keep(predicate())
+
+
+def test_bloom_of_a_rate(rows):
+    few, many = build_bloom(rows([1, None, 1]), "v", 8192, rate=0.01), build_bloom(rows(range(5000)), "v", 8192, rate=0.01)
+    assert few.bits == 8192 and many.bits == 65536 and many.bits_set().first()["false_positive_rate"] < 0.01
+    blocked = build_bloom(rows(range(5000)), "v", 8192, block=block_of("row_id", 1000), rate=0.01)
+    assert blocked.bits == 16384 and blocked.bits_set().where("false_positive_rate < 0.01").count() == 5
+    assert build_bloom(rows([None]), "v", 8192, rate=0.01).bits == 8192
+    with pytest.raises(ValueError):
+        build_bloom(rows([1]), "v", 8192, rate=0)
