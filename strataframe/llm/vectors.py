@@ -96,18 +96,21 @@ def search(rows: DataFrame, is_query, shards: DataFrame, n_shards: int, shard_by
     """The k best of every query over all shards: query_id, rank, vec_id, score.
 
     Queries are rows, packed in blocks; none passes the driver. With several shards, one of FIRST answers alone at
-    first; the k-th best score there bounds the k-th best of all, and every shard gets it as the query's bound. A shard
-    answers with at most k rows a query, and the answers are ranked by query.
+    first; the k-th best score there bounds the k-th best of all, and every other shard gets it as the query's bound.
+    The first answers stay, so that a bound never leaves a query with fewer than k. A shard answers with at most k rows
+    a query, and the answers are ranked by query.
     """
     queries = materialise(rows.where(is_query).dropDuplicates(), "queries")
     n = queries.count()
     order = Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.col("score"), "vec_id")
-    bounded = queries.withColumn("bound", F.lit(None).cast("double"))
+    bounded, first = queries.withColumn("bound", F.lit(None).cast("double")), None
     if n_shards > 1:
-        first = _answers(shards.where(F.pmod("shard", F.lit(FIRST)) == 0), bins_for(n_shards, FIRST, 1), shard_bytes, _blocks(bounded, n), open_shard, find, score_type)
+        is_first, n_first = F.pmod("shard", F.lit(FIRST)) == 0, bins_for(n_shards, FIRST, 1)
+        first = materialise(_answers(shards.where(is_first), n_first, shard_bytes, _blocks(bounded, n), open_shard, find, score_type), "first-answers")
         kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
-        bounded = queries.join(kth, "vec_id", "left")
+        bounded, shards, n_shards = queries.join(kth, "vec_id", "left"), shards.where(~is_first), n_shards - n_first
     found = _answers(shards, n_shards, shard_bytes, materialise(_blocks(bounded, n), "blocks"), open_shard, find, score_type)
+    found = found if first is None else first.unionByName(found)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

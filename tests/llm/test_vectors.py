@@ -128,3 +128,27 @@ def test_few_and_none(spark):
     assert ann.nearest(few, lambda c: c % 100 == 0).count() == 1
     none = few.where("false")
     assert exact_topk.exact_top_k(none, lambda c: c % 100 == 0).count() == 0 and ann.nearest(none, lambda c: c % 100 == 0).count() == 0
+
+
+def test_copies_are_met_at_a_bound_of_zero(table_rows):
+    """Projections of one vector differ by rounding between a matrix and a row of it."""
+    rows = good(table_rows[:740])
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    shard = ann.open_tree(ann.tree_columns(ids, x))
+    for many in range(1, 12):
+        q = np.arange(700, 700 + many)
+        a, c, d, _ = ann.search_shard(shard, q, x[q], 10, np.zeros(many))
+        for i in q:
+            assert sorted(c[a == i]) == [j for j in [5, *range(700, 740)] if j != i][:10] and not d.any()
+
+
+def test_bound_leaves_no_query_short(spark, monkeypatch):
+    """Near vectors that the projection stretches most fail the test at the bound that they set themselves."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 60)
+    r = np.random.default_rng(2)
+    near = r.standard_normal((60, ann.PROJECTED)) @ ann.projection(64).T
+    near *= (1 + 0.05 * r.random((60, 1))) / np.linalg.norm(near, axis=1, keepdims=True)
+    x = 5 + np.concatenate((np.zeros((1, 64)), near, 50 * r.standard_normal((60, 64))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((v["rank"], v["vec_id"]) for v in ann.nearest(df, lambda c: c % 1000 == 0).collect())
+    assert [k for k, _ in got] == list(range(1, 11)) and all(1 <= i <= 60 for _, i in got)
